@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality import op1_quality
+from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality,)}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_toxicity)}
 SQL: dict[str, str] = {}
