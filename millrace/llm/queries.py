@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import SQL as _SQL8
+from .decontaminate import op8_decontaminate
 from .quality import op1_quality
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_toxicity, op8_decontaminate)}
+SQL: dict[str, str] = {"op8_decontaminate": _SQL8}
