@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import SQL as _SQL8
 from .decontaminate import op8_decontaminate
+from .language import op4_language
 from .quality import op1_quality
+from .secrets import op7_secrets
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_toxicity, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_language, op5_toxicity, op7_secrets, op8_decontaminate)}
 SQL: dict[str, str] = {"op8_decontaminate": _SQL8}
