@@ -12,7 +12,8 @@ from .media import op10_media
 from .packing import op9_packing
 from .quality import op1_quality
 from .secrets import op7_secrets
+from .suffixes import op3_suffixes
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_codes, op4_language, op5_toxicity, op6_jaccard, op7_secrets, op8_decontaminate, op9_packing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_codes, op3_suffixes, op4_language, op5_toxicity, op6_jaccard, op7_secrets, op8_decontaminate, op9_packing, op10_media)}
 SQL: dict[str, str] = {"op6_jaccard": _SQL6, "op8_decontaminate": _SQL8}
