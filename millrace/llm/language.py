@@ -1,7 +1,7 @@
 """Language ID: nearest of several clustered centroids a language, by cosine of TF-IDF n-gram vectors.
 
-A word with its borders gives hashed character n-grams; a text's vector holds
-tf * idf, divided by its length.  The idf is counted over every document that
+Letters in lower case, with anything else as a border, give hashed character
+n-grams of 1 to GRAMS; a text's vector holds log(1 + tf) * idf, divided by its length.  The idf is counted over every document that
 may be learnt from.  For each language a bounded sample (``SAMPLE`` rows, by
 hash of doc_id) is clustered by spherical k-means into ``CENTROIDS`` centroids.
 
@@ -17,8 +17,8 @@ equal rows; ties go to the first language in order.
 
 from __future__ import annotations
 
+import functools
 import pickle
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +27,39 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DIM, GRAMS, CENTROIDS, SAMPLE, LANGUAGES, CACHE, SEED, SHARPNESS = 4096, (1, 2, 3), 4, 800, 400, 200_000, 5, 12.0
-_STRIP = ".,;:!?\"'()[]{}|*#$%&…«»“”„-"
+BITS, GRAMS, CENTROIDS, SAMPLE, LANGUAGES, SHARPNESS = 12, 3, 4, 800, 400, 12.0
+DIM = 1 << BITS
+_MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
 
-class _Grams(dict):
-    """word -> its n-grams' buckets; empty without a letter."""
+@functools.cache
+def _letters() -> np.ndarray:
+    """code point -> its lower-case letter's code point, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in map(chr, range(0x30000)):  # beyond are no assigned letters with case or use in text
+        if c.isalpha():
+            low = c.lower()
+            out[ord(c)] = ord(low) if len(low) == 1 else ord(c)
+    out[0x30000:0x32400] = np.arange(0x30000, 0x32400)  # ideographs
+    return out
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        w = "".join(c for c in word.strip(_STRIP).lower()[:60] if c.isalpha() or c == "'")
-        ids = []
-        if w:
-            w = f"<{w}>"
-            ids = [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % DIM for n in GRAMS for i in range(len(w) - n + 1)]
-        self[word] = out = np.array(ids, np.int32)
-        return out
 
-
-def _counts(text: str | None, cache: _Grams) -> np.ndarray | None:
+def _counts(text: str | None) -> np.ndarray | None:
     """n-gram counts of a text, None without a letter."""
-    parts = [g for g in map(cache.__getitem__, text.split()) if len(g)] if text else []
-    return np.bincount(np.concatenate(parts), minlength=DIM) if parts else None
+    if not text:
+        return None
+    c = np.zeros(len(text) + 2, np.uint32)  # a border on each side
+    c[1:-1] = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    if not c.any():
+        return None
+    h, out = c * _MIX[0], np.zeros(DIM, np.int64)
+    some = c > 0
+    for n in range(1, GRAMS + 1):
+        if n > 1:
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MIX[1] + c[n - 1 :] * _MIX[0]
+            some = some[:-1] | (c[n - 1 :] > 0)
+        out += np.bincount(((h * _MIX[2]) >> np.uint32(32 - BITS))[some], minlength=DIM)
+    return out
 
 
 def _vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -65,10 +75,10 @@ def document_frequency(docs: DataFrame) -> np.ndarray:
     """In how many documents each bucket occurs, and last their number: one row of fixed size from each task."""
 
     def run(batches):
-        cache, df = _Grams(), np.zeros(DIM + 1, np.int64)
+        df = np.zeros(DIM + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                c = _counts(text, cache)
+                c = _counts(text)
                 if c is not None:
                     df[:-1] += c > 0
                     df[-1] += 1
@@ -116,9 +126,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     few = learnable(docs).filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < top)
 
     def run(batches):
-        cache = _Grams()
         for batch in batches:
-            out = [(d, lang, c) for d, lang, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()) if (c := _counts(t, cache)) is not None]
+            out = [(d, lang, c) for d, lang, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()) if (c := _counts(t)) is not None]
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([np.minimum(o[2], 65535).astype(np.uint16).tobytes() for o in out], pa.binary())], ["doc_id", "lang", "counts"])
 
     rows = common.map_arrow(few.select(F.col("doc_id").cast("long"), "text", "lang"), run, "doc_id long, lang string, counts binary").toArrow()
@@ -142,13 +151,13 @@ def predict(docs: DataFrame, model: dict, reject: bool = False) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
-        m, cache = pickle.loads(sent.value), _Grams()
+        m = pickle.loads(sent.value)
         owner, limit = np.array(m["owner"], np.int64), np.array(m["reject"])
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
         for batch in batches:
             pred, score, away = [], [], []
             for text in batch.column("text").to_pylist():
-                c = _counts(text, cache) if m["langs"] else None
+                c = _counts(text) if m["langs"] else None
                 if c is None:
                     pred.append("und"), score.append(0.0), away.append(True)
                     continue
