@@ -32,7 +32,7 @@ from . import common
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 6, (3, 4, 5), 6
 #: CALIBRATE: the share of the sample that only fits the probability.
-SAMPLE, TRAIN_WINDOWS, RARE, DECAY, CALIBRATE, SEED, CACHE = 2500, 20_000, 3, 1e-7, 0.3, 11, 400_000
+SAMPLE, TRAIN_WINDOWS, RARE, DECAY, CALIBRATE, SEED, CACHE = 2000, 20_000, 3, 1e-7, 0.3, 11, 400_000
 #: (Adam steps, windows of a toxic document that count)
 ROUNDS = ((40, None), (30, 3), (40, 2))
 _LIKE = {"i": "1", "o": "0", "e": "3", "a": "@", "s": "5", "l": "1", "t": "7"}
@@ -66,8 +66,8 @@ class Model:
         all_texts, all_y = texts, y
         texts, y = [t for t, h in zip(texts, held) if not h], y[~held]
         vocab: dict[str, int] = {}
-        docs = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], np.int64) for t in texts]
-        bags = [subwords(w) for w in vocab] + [[]]  # the last is the padding
+        docs = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], np.int32) for t in texts]
+        bags = [np.array(subwords(w), np.int32) for w in vocab] + [np.zeros(0, np.int32)]  # the last is the padding
         pad = len(vocab)
         spread = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=pad + 1)
         rare = spread < max(RARE, 0.01 * float((y == 1).sum()))
@@ -88,7 +88,7 @@ class Model:
 
         def logits() -> np.ndarray:
             flat = self.emb @ (self.out[:, 1] - self.out[:, 0])
-            word = np.array([flat[b].mean() if b else 0.0 for b in bags])
+            word = np.array([flat[b].mean() if len(b) else 0.0 for b in bags])
             return word[windows].mean(1)
 
         label = y[doc]
@@ -111,11 +111,11 @@ class Model:
             own = [bags[i] for i in words]
             if best is not None:  # the same windows again with misspelt words
                 names = [*vocab, ""]
-                own += [subwords(misspell(names[i], rng)) for i in words]
+                own += [np.array(subwords(misspell(names[i], rng)), np.int32) for i in words]
                 w, t, share = np.concatenate([w.ravel(), w.ravel() + len(words)]), np.tile(t, 2), np.tile(share / 2, 2)
             w = w.reshape(-1, WINDOW)
             count = np.array([len(b) for b in own])
-            buckets, sub = np.unique(np.array([i for b in own for i in b], np.int64), return_inverse=True)
+            buckets, sub = np.unique(np.concatenate(own), return_inverse=True)
             owner, part = np.repeat(np.arange(len(own)), count), np.repeat(1 / np.maximum(count, 1), count)
             trained[buckets] = True
             for _ in range(steps):
