@@ -10,14 +10,15 @@ matrix with its transpose:
    The order puts the shingles with the highest counts in the corpus last, so
    passages that thousands share make no blocks.  The matrix keeps these
    entries; a block is a column with two rows or more.
-3. Within a column only rows whose sizes allow the threshold are multiplied.
-   First each row is paired with one row a column class, the one it shares most
-   columns with; the exact overlap of a pair is counted and pairs below the
-   bound of their sizes go.  What is linked becomes one component.  Then pairs
-   across components are taken, smaller components against the rest of the
-   column, until none is left.  Pairs inside a component need no count, so a
-   group of near copies costs rows, not pairs, and no link between
-   components is lost.
+3. Within a column only rows whose sizes allow the threshold are multiplied,
+   and the entries that a pair shares are added up.  First each row meets one
+   row of each column and size class; a pair whose shared entries cannot reach
+   the bound of its sizes goes, and the rest have their exact overlap counted.
+   What is linked becomes one component.  Then pairs across components are
+   taken in the same way, and last all of them: in each column the smaller
+   components against the others, with the whole number of shared entries.
+   Pairs inside a component need no count, so a group of near copies costs
+   rows, not pairs, and no link between components is lost.
 
 Null and wordless texts have an empty set and link with nothing.  Repeated
 rows fall together.  Rows that share a doc_id are one node; rows without a
@@ -42,7 +43,7 @@ from .shingles import Words, shingle_sets
 PERCENT, HEAVY, HEAVY_MIN, BUFFER = 80, 1 << 16, 8, 3_000_000
 #: Bits of the filter that keeps sets from travelling when no pair needs them; a false positive only costs bytes.
 FILTER_BITS = 1 << 24
-ROUNDS = 2
+ROUNDS = 1
 
 
 def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +135,8 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs x, y whose exact overlap reaches the bound of their sizes."""
+def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs x, y whose exact overlap reaches the bound of their sizes; only their sets travel."""
 
     def run(batches):
         for batch in batches:
@@ -152,11 +153,29 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
     kind = dict(pairs.dtypes)["x"]
+    pairs = common.materialise(pairs.select("x", "y"), "jaccard")
+    sets = _sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
     with_x = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
     with_y = with_x.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
     return common.map_arrow(with_y.select("x", "y", "sx", "sy"), run, f"x {kind}, y {kind}")
 
 
+def _near(a, b, percent: int):
+    """Sizes that allow the threshold."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def _enough(shared, nx, ny, percent: int):
+    """Whether two rows that share so many kept entries can reach the bound of their sizes.
+
+    Of the row whose kept entries end first, all that both rows have up to
+    there is shared; the rest of that row can add n - kept = ceil(t n) - 1.
+    """
+    rest = F.expr(f"(({percent} * greatest(nx, ny) + 99) div 100) - 1")
+    need = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    return shared + rest >= need
+
+
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     cut = functools.partial(common.materialise, name="jaccard")
@@ -164,37 +183,40 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
     # columns with two rows or more whose sizes are near enough
-    near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
     w = Window.partitionBy("h").orderBy("n", "node")
     lag, lead = F.lag("n").over(w), F.lead("n").over(w)
-    blocks = cut(entries.withColumn("before", F.when(near(lag, F.col("n")), F.lag("node").over(w))).withColumn("after", near(lead, F.col("n"))).filter(F.col("before").isNotNull() | F.col("after")).drop("after"))
-    sets = cut(_sets(docs, blocks.select("node").distinct()))
+    seen = entries.select("h", "node", "n", F.when(_near(lag, F.col("n"), percent), F.lag(F.struct("node", "n")).over(w)).alias("before"), (lead.isNotNull() & _near(lead, F.col("n"), percent)).alias("after"))
+    blocks = cut(seen.filter(F.col("before").isNotNull() | F.col("after")).drop("after"))
+
+    def linked(proposed: DataFrame) -> DataFrame:
+        """Of each x the partner that it shares most columns with, if that can be enough and is."""
+        counts = proposed.filter("x <> y").groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("k")).filter(_near(F.col("nx"), F.col("ny"), percent) & _enough(F.col("k"), "nx", "ny", percent))
+        return _links(docs, counts.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")), percent)
 
     # a size class spans a factor of less than 100 / percent, so its rows are near enough
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 0.999999)) if percent < 100 else F.col("n")
     first = blocks.withColumn("class", size_class)
-    lead_of = first.groupBy("h", "class").agg(F.min("node").alias("y"))
-    proposed = first.join(lead_of, ["h", "class"]).select(F.col("node").alias("x"), "y").unionByName(blocks.select(F.col("node").alias("x"), F.col("before").alias("y")).filter("y is not null"))
-    links = cut(_links(_most_shared(proposed), sets, percent))
+    lead_of = first.groupBy("h", "class").agg(F.min(F.struct("node", "n")).alias("to"))
+    ends = lambda to: (F.col("node").alias("x"), F.col("n").alias("nx"), F.col(f"{to}.node").alias("y"), F.col(f"{to}.n").alias("ny"))
+    links = cut(linked(first.join(lead_of, ["h", "class"]).select(*ends("to")).unionByName(blocks.filter("before is not null").select(*ends("before")))))
     for _ in range(ROUNDS):
-        label = connected_components(links, cut, "x", "y")
-        named = _named(blocks, label)
-        ends = named.groupBy("h").agg(F.min_by("node", F.struct("component", "node")).alias("lo"), F.min("component").alias("lc"), F.max_by("node", F.struct("component", "node")).alias("hi"), F.max("component").alias("hc")).filter("lc <> hc")
-        proposed = named.join(ends, "h").select(F.col("node").alias("x"), F.when(F.col("component") != F.col("lc"), F.col("lo")).otherwise(F.col("hi")).alias("y"), "n")
-        sizes = blocks.select(F.col("node").alias("y"), F.col("n").alias("m")).distinct()
-        proposed = proposed.join(sizes, "y").filter(near(F.col("n"), F.col("m"))).select("x", "y")
-        links = cut(links.unionByName(_links(_most_shared(proposed), sets, percent)).distinct())
-
-    # what is left: in each column the smaller components against all others
+        named = _named(blocks, connected_components(links, cut, "x", "y"))
+        both = named.groupBy("h").agg(F.min(F.struct("component", "node", "n")).alias("lo"), F.max(F.struct("component", "node", "n")).alias("hi")).filter("lo.component <> hi.component")
+        to = named.join(both, "h").withColumn("to", F.when(F.col("component") != F.col("lo.component"), F.col("lo")).otherwise(F.col("hi")))
+        links = cut(links.unionByName(linked(to.select(*ends("to")))).distinct())
+
+    # what is left: in each column the smaller components against all others, with the whole number of shared entries
     named = cut(_named(blocks, connected_components(links, cut, "x", "y")))
     by = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = named.join(main, "h")
-    a = mixed.filter("component <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "main")
-    b = mixed.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("main").alias("main_y"))
-    rest = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & near(F.col("nx"), F.col("ny")) & ((F.col("cy") == F.col("main_y")) | (F.col("x") < F.col("y"))))
-    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = cut(links.unionByName(_links(rest, sets, percent)))
+    a = mixed.filter("component <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    b = mixed.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
+    rest = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & _near(F.col("nx"), F.col("ny"), percent) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
+    flip = F.col("x") > F.col("y")
+    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(flip, F.col("ny")).otherwise(F.col("nx")).alias("nx"), F.when(flip, F.col("nx")).otherwise(F.col("ny")).alias("ny"))
+    rest = rest.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("k")).filter(_enough(F.col("k"), "nx", "ny", percent))
+    links = cut(links.unionByName(_links(docs, rest, percent)))
     label = connected_components(links, cut, "x", "y")
 
     rep = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -205,12 +227,6 @@ def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
     return blocks.select("h", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _most_shared(proposed: DataFrame) -> DataFrame:
-    """For each x the y that it shares most columns with."""
-    counts = proposed.filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
-    return counts.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y"))
-
-
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component; of repeated rows one."""
     keep = components(docs, percent).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
