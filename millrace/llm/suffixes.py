@@ -36,6 +36,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,7 +236,7 @@ def _candidates(blocks: DataFrame, bits: DataFrame, ranges_log: int) -> DataFram
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names)
                 if len(spans):
                     pairs = np.stack([lo[spans], hi[spans] + LENGTH], 1).astype("<i4").tobytes()
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(([None], [None], [block], [None], [None], [None], [None], [pairs]), kinds)], names)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(([int(_mix(np.array([block], np.uint64)).view(np.int64)[0])], [None], [block], [None], [None], [None], [None], [pairs]), kinds)], names)
 
     joined = blocks.join(bits.hint("shuffle_hash"), "block")
     return common.map_arrow(joined.select("block", "doc_ids", "lengths", "data", "bits"), run, "gram long, doc long, block long, places binary, lo int, hi int, around binary, spans binary")
@@ -279,8 +280,7 @@ def covered(gram: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, a
 
 
 def _sorted_buckets(candidates: DataFrame, parts: int, portion: int) -> DataFrame:
-    """block, spans (flat begin, end places in the block) of what the sorted buckets cover."""
-    names = ("gram", "doc", "block", "places", "lo", "hi", "around")
+    """block, spans (flat begin, end places in the block) of what the sorted buckets cover; known spans pass through."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -320,6 +320,10 @@ def _sorted_buckets(candidates: DataFrame, parts: int, portion: int) -> DataFram
             return pa.record_batch([pa.array(list(spans), pa.int64()), pa.array([np.array(v, "<i4").tobytes() for v in spans.values()], pa.binary())], ["block", "spans"])
 
         for batch in batches:
+            known = batch.column("around").is_null()
+            if known.true_count:
+                yield batch.filter(known).select(["block", "spans"])
+                batch = batch.filter(pa.compute.invert(known))
             held.append(batch)
             rows += len(batch)
             if rows >= portion:
@@ -328,7 +332,7 @@ def _sorted_buckets(candidates: DataFrame, parts: int, portion: int) -> DataFram
         if rows:
             yield process(pa.Table.from_batches(held), True)
 
-    dealt = candidates.filter("around is not null").select(*names).repartition(parts, "gram").sortWithinPartitions("gram", "doc")
+    dealt = candidates.repartition(parts, "gram").sortWithinPartitions("gram", "doc")
     return common.map_arrow(dealt, run, "block long, spans binary")
 
 
@@ -337,8 +341,8 @@ def removed(docs: DataFrame, block: int = BLOCK, portion: int = PORTION) -> Data
     parts = common.width(docs)
     ranges_log = max(6, (parts - 1).bit_length())
     blocks = make_blocks(docs, block)
-    found = common.materialise(_candidates(blocks, _shared_bits(blocks, ranges_log), ranges_log), "suffixes")
-    spans = found.filter("spans is not null").select("block", "spans").unionByName(_sorted_buckets(found, parts, portion)).groupBy("block").agg(F.collect_list("spans").alias("spans"))
+    found = _candidates(blocks, _shared_bits(blocks, ranges_log), ranges_log)
+    spans = _sorted_buckets(found, parts, portion).groupBy("block").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches):
         for batch in batches:
