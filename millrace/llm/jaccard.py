@@ -9,7 +9,8 @@ matrix with its transpose:
    n - ceil(t n) + 1 rarest shingles of each, for any order common to all rows.
    The order puts the shingles with the highest counts in the corpus last, so
    passages that thousands share make no blocks.  The matrix keeps these
-   entries; a block is a column with two rows or more.
+   entries; a block is a column with two rows or more, and columns with the
+   same rows are one column with a weight.
 3. Within a column only rows whose sizes allow the threshold are multiplied,
    and the entries that a pair shares are added up.  First each row meets one
    row of each column and size class; a pair whose shared entries cannot reach
@@ -43,7 +44,8 @@ from .shingles import Words, shingle_sets
 PERCENT, HEAVY, HEAVY_MIN, BUFFER = 80, 1 << 16, 8, 3_000_000
 #: Bits of the filter that keeps sets from travelling when no pair needs them; a false positive only costs bytes.
 FILTER_BITS = 1 << 24
-ROUNDS = 1
+ROUNDS = 2
+_SIGN = np.uint64(1 << 63)  # makes signed order of unsigned hashes
 
 
 def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def _signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent:
     def run(batches):
         cache, (hk, hn) = Words(), sent.value
         for batch in batches:
-            n, digest, prefix = [], [], []
+            n, digest, prefix, last = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), cache):
                 size = len(s)
                 n.append(size)
@@ -89,11 +91,13 @@ def _signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent:
                 if len(hk):
                     at = np.minimum(np.searchsorted(hk, s), len(hk) - 1)
                     f = np.where(hk[at] == s, hn[at], 0)
-                prefix.append(s[np.argsort(f, kind="stable")[:keep]].view(np.int64))
+                order = np.argsort(f, kind="stable")[:keep]
+                prefix.append(s[order].view(np.int64))
+                last.append((int(f[order[-1]]), int((s[order[-1]] ^ _SIGN).view(np.int64))) if size else (0, 0))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n", "digest", "prefix"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64())], ["doc_id", "n", "digest", "prefix", "last_count", "last_hash"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, prefix array<long>")
+    return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, prefix array<long>, last_count long, last_hash long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -165,66 +169,78 @@ def _near(a, b, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _enough(shared, nx, ny, percent: int):
-    """Whether two rows that share so many kept entries can reach the bound of their sizes.
+def _reach(most_x: str, most_y: str, percent: int):
+    """Whether an overlap can reach the bound of two sizes, x.n and y.n.
 
-    Of the row whose kept entries end first, all that both rows have up to
-    there is shared; the rest of that row can add n - kept = ceil(t n) - 1.
+    Take the row whose kept shingles end first in the common order.  Whatever
+    both rows have up to there, both have kept, so of its kept shingles no more
+    than the shared ones are in the overlap; ``most`` is n less the others.
     """
-    rest = F.expr(f"(({percent} * greatest(nx, ny) + 99) div 100) - 1")
-    need = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
-    return shared + rest >= need
+    need = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}"
+    first = "x.last_count < y.last_count OR (x.last_count = y.last_count AND x.last_hash <= y.last_hash)"
+    return F.expr(f"CASE WHEN {first} THEN {most_x} ELSE {most_y} END >= {need}")
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     cut = functools.partial(common.materialise, name="jaccard")
     sig = cut(_signatures(docs, heavy_shingles(docs), percent))
-    nodes = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sound = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
     # columns with two rows or more whose sizes are near enough
     w = Window.partitionBy("h").orderBy("n", "node")
     lag, lead = F.lag("n").over(w), F.lead("n").over(w)
-    seen = entries.select("h", "node", "n", F.when(_near(lag, F.col("n"), percent), F.lag(F.struct("node", "n")).over(w)).alias("before"), (lead.isNotNull() & _near(lead, F.col("n"), percent)).alias("after"))
-    blocks = cut(seen.filter(F.col("before").isNotNull() | F.col("after")).drop("after"))
+    seen = entries.select("h", "node", "n", F.when(lag.isNotNull() & _near(lag, F.col("n"), percent), F.lag("node").over(w)).alias("before"), (lead.isNotNull() & _near(lead, F.col("n"), percent)).alias("after"))
+    every = cut(seen.filter(F.col("before").isNotNull() | F.col("after")).drop("after"))
+    # columns with the same rows are one column of their number's weight
+    same = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight"))
+    blocks = cut(every.join(same.select("h", "weight"), "h"))
+    # of each row: size, the end of its kept shingles, kept shingles that no other row shares, and what the rest can add
+    shared = blocks.groupBy("node").agg(F.sum("weight").alias("shared"))
+    sizes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash"))
+    rest_of = F.expr(f"({percent} * n + 99) div 100 - 1")
+    info = cut(sizes.join(shared, "node").select("node", F.struct("n", "last_count", "last_hash", rest_of.alias("rest"), (rest_of + F.col("shared")).alias("most")).alias("d")).dropDuplicates(["node"]))
 
     def linked(proposed: DataFrame) -> DataFrame:
         """Of each x the partner that it shares most columns with, if that can be enough and is."""
-        counts = proposed.filter("x <> y").groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("k")).filter(_near(F.col("nx"), F.col("ny"), percent) & _enough(F.col("k"), "nx", "ny", percent))
-        return _links(docs, counts.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")), percent)
+        counts = proposed.filter("nx <> ny").groupBy("nx", "ny").agg(F.sum("weight").alias("k"))
+        counts = counts.join(info.select(F.col("node").alias("nx"), F.col("d").alias("x")), "nx").join(info.select(F.col("node").alias("ny"), F.col("d").alias("y")), "ny")
+        counts = counts.filter(_near(F.col("x.n"), F.col("y.n"), percent) & _reach("k + x.rest", "k + y.rest", percent))
+        return _links(docs, counts.groupBy(F.col("nx").alias("x")).agg(F.max_by("ny", F.struct("k", -F.col("ny"))).alias("y")), percent)
 
     # a size class spans a factor of less than 100 / percent, so its rows are near enough
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 0.999999)) if percent < 100 else F.col("n")
     first = blocks.withColumn("class", size_class)
-    lead_of = first.groupBy("h", "class").agg(F.min(F.struct("node", "n")).alias("to"))
-    ends = lambda to: (F.col("node").alias("x"), F.col("n").alias("nx"), F.col(f"{to}.node").alias("y"), F.col(f"{to}.n").alias("ny"))
-    links = cut(linked(first.join(lead_of, ["h", "class"]).select(*ends("to")).unionByName(blocks.filter("before is not null").select(*ends("before")))))
+    lead_of = first.groupBy("h", "class").agg(F.min("node").alias("ny"))
+    links = cut(linked(first.join(lead_of, ["h", "class"]).select(F.col("node").alias("nx"), "ny", "weight").unionByName(blocks.filter("before is not null").select(F.col("node").alias("nx"), F.col("before").alias("ny"), "weight"))))
     for _ in range(ROUNDS):
         named = _named(blocks, connected_components(links, cut, "x", "y"))
-        both = named.groupBy("h").agg(F.min(F.struct("component", "node", "n")).alias("lo"), F.max(F.struct("component", "node", "n")).alias("hi")).filter("lo.component <> hi.component")
-        to = named.join(both, "h").withColumn("to", F.when(F.col("component") != F.col("lo.component"), F.col("lo")).otherwise(F.col("hi")))
-        links = cut(links.unionByName(linked(to.select(*ends("to")))).distinct())
+        both = named.groupBy("h").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).filter("lo.component <> hi.component")
+        to = named.join(both, "h").select(F.col("node").alias("nx"), F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("ny"), "weight")
+        links = cut(links.unionByName(linked(to)).distinct())
 
     # what is left: in each column the smaller components against all others, with the whole number of shared entries
     named = cut(_named(blocks, connected_components(links, cut, "x", "y")))
     by = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = named.join(main, "h")
-    a = mixed.filter("component <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    b = mixed.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    rest = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & _near(F.col("nx"), F.col("ny"), percent) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    flip = F.col("x") > F.col("y")
-    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(flip, F.col("ny")).otherwise(F.col("nx")).alias("nx"), F.when(flip, F.col("nx")).otherwise(F.col("ny")).alias("ny"))
-    rest = rest.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("k")).filter(_enough(F.col("k"), "nx", "ny", percent))
-    links = cut(links.unionByName(_links(docs, rest, percent)))
+    mixed = named.join(main, "h").join(info, "node")
+    a = mixed.filter("component <> main").select("h", F.col("node").alias("nx"), F.col("d").alias("x"), F.col("component").alias("cx"), "weight")
+    b = mixed.select("h", F.col("node").alias("ny"), F.col("d").alias("y"), F.col("component").alias("cy"), "main")
+    apart = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("x.most", "y.most", percent))
+    # a pair can meet in either order, so both are put under the smaller node first
+    flip = F.col("nx") > F.col("ny")
+    apart = apart.select(F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"), F.when(flip, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(flip, F.col("x")).otherwise(F.col("y")).alias("y"), "weight")
+    counts = apart.groupBy("nx", "ny").agg(F.sum("weight").alias("k"), F.first("x").alias("x"), F.first("y").alias("y")).filter(_reach("k + x.rest", "k + y.rest", percent))
+    links = cut(links.unionByName(_links(docs, counts.select(F.col("nx").alias("x"), F.col("ny").alias("y")), percent)))
     label = connected_components(links, cut, "x", "y")
 
-    rep = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    rep = sizes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return sig.select("doc_id", "n", "digest").join(rep, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
-    return blocks.select("h", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return blocks.select("h", "node", "n", "weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
