@@ -33,7 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a mark in place of each secret."""
-    return secrets.redact(docs.select(*COLUMNS))
+    return secrets.redact(docs.select(*COLUMNS), secrets.Ledger(spark, common.fresh_path(spark, "ledger")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,6 +211,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
     hit = F.expr("aggregate(transform(sequence(1, size(runs), 2), i -> runs[i] - runs[i - 1]), 0L, (a, x) -> a + x)")
     kept = found.filter((cut <= 0) | (hit <= F.lit(coverage) * F.col("n_words")))
 
+    names = docs.columns
+
     def strip(batches):
         for batch in batches:
             texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
@@ -223,8 +225,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
                         at = spans[b - 1][1]
                     texts[k] = "".join([*parts, texts[k][at:]])
                     sizes[k] = len(texts[k])
-            cols = {c: batch.column(c) for c in docs.columns} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-            yield pa.record_batch([cols[c] for c in docs.columns], docs.columns)
+            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+            yield pa.record_batch([cols[c] for c in names], names)
 
     return common.map_arrow(kept, strip, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
 

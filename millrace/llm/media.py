@@ -40,12 +40,13 @@ def encode(docs: DataFrame) -> DataFrame:
 
 def decode(media: DataFrame) -> DataFrame:
     """media's columns with width, height and pixels (8-bit samples, row by row)."""
+    names = media.columns
 
     def run(batches):
         for batch in batches:
             pixels = [webp.decode_samples(m) for m in batch.column("media").to_pylist()]
             more = [pa.array([webp.WIDTH] * len(pixels), pa.int32()), pa.array([len(p) // webp.WIDTH for p in pixels], pa.int32()), pa.array([p.tobytes() for p in pixels], pa.binary())]
-            yield pa.record_batch([*batch.columns, *more], [*media.columns, "width", "height", "pixels"])
+            yield pa.record_batch([*batch.columns, *more], [*names, "width", "height", "pixels"])
 
     return common.map_arrow(media, run, ", ".join(f"`{n}` {t}" for n, t in media.dtypes) + ", width int, height int, pixels binary")
 

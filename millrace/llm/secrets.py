@@ -97,26 +97,27 @@ class Ledger:
         return salted.join(found, ["blob", "salt"], "left").drop("salt").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
-def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span replaced by ``mark``, overlapping spans as one, and n_chars set anew; decided where the rows lie."""
+def redact(docs: DataFrame, ledger: Ledger, mark: str = "[REDACTED]", version: str = RULE_VERSION) -> DataFrame:
+    """docs with every span that the ledger finds replaced by ``mark``, overlapping spans as one, and n_chars set anew."""
+    ledger.update(docs, version)
+    found, names = ledger.findings(addressed(docs), version), docs.columns
 
     def run(batches):
         for batch in batches:
             texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-            for k, text in enumerate(texts):
-                spans = scan(text) if text else []
+            for k, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
-                    parts, at = [], 0
-                    for a, _, b in spans:
+                    text, parts, at = texts[k], [], 0
+                    for a, b in sorted((x["start"], x["stop"]) for x in spans):
                         if a >= at:
                             parts += [text[at:a], mark]
                         at = max(at, b)
                     texts[k] = "".join([*parts, text[at:]])
                     sizes[k] = len(texts[k])
-            cols = {c: batch.column(c) for c in docs.columns} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-            yield pa.record_batch([cols[c] for c in docs.columns], docs.columns)
+            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+            yield pa.record_batch([cols[c] for c in names], names)
 
-    return common.map_arrow(docs, run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return common.map_arrow(found.select(*docs.columns, "spans"), run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
