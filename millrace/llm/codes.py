@@ -166,7 +166,9 @@ def read_files(docs_files: DataFrame, folder: str) -> DataFrame:
                 r = Reader(raw.as_py())
                 for lo in range(0, len(r.doc_ids), 500):
                     hi = min(lo + 500, len(r.doc_ids))
-                    yield pa.record_batch([pa.array([name] * (hi - lo), pa.string()), pa.array(r.doc_ids[lo:hi], pa.int64()), pa.array(r.starts[lo:hi]), pa.array([r.document(k).astype("<u4").tobytes() for k in range(lo, hi)], pa.binary())], ["name", "doc_id", "first", "ids"])
+                    at = r.starts[lo : hi + 1]
+                    ids, cut = r.slice(int(at[0]), int(at[-1])).astype("<u4").tobytes(), (4 * (at - at[0])).tolist()
+                    yield pa.record_batch([pa.array([name] * (hi - lo), pa.string()), pa.array(r.doc_ids[lo:hi], pa.int64()), pa.array(at[:-1]), pa.array([ids[a:b] for a, b in zip(cut, cut[1:])], pa.binary())], ["name", "doc_id", "first", "ids"])
 
     found = docs_files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*.dac").load(folder)
     return common.map_arrow(found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), run, "name string, doc_id long, first long, ids binary")
