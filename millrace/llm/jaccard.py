@@ -17,7 +17,10 @@ matrix with its transpose:
    the bound of its sizes goes, and the rest have their exact overlap counted.
    What is linked becomes one component.  Then pairs across components are
    taken in the same way, and last all of them: in each column the smaller
-   components against the others, with the whole number of shared entries.
+   components against the others.  Columns are ordered, those with few rows
+   first; if a column is the first that a pair shares, both rows' entries from
+   it on bound what they share, and most pairs are dropped by that before they
+   are made.
    Pairs inside a component need no count, so a group of near copies costs
    rows, not pairs, and no link between components is lost.
 
@@ -44,7 +47,7 @@ from .shingles import Words, shingle_sets
 PERCENT, HEAVY, HEAVY_MIN, BUFFER = 80, 1 << 16, 8, 3_000_000
 #: Bits of the filter that keeps sets from travelling when no pair needs them; a false positive only costs bytes.
 FILTER_BITS = 1 << 24
-ROUNDS = 2
+ROUNDS = 1
 _SIGN = np.uint64(1 << 63)  # makes signed order of unsigned hashes
 
 
@@ -173,8 +176,8 @@ def _reach(most_x: str, most_y: str, percent: int):
     """Whether an overlap can reach the bound of two sizes, x.n and y.n.
 
     Take the row whose kept shingles end first in the common order.  Whatever
-    both rows have up to there, both have kept, so of its kept shingles no more
-    than the shared ones are in the overlap; ``most`` is n less the others.
+    both rows have up to there, both have kept, so the overlap is at most the
+    kept shingles that they share and the rest of that row.
     """
     need = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}"
     first = "x.last_count < y.last_count OR (x.last_count = y.last_count AND x.last_hash <= y.last_hash)"
@@ -195,12 +198,13 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = cut(seen.filter(F.col("before").isNotNull() | F.col("after")).drop("after"))
     # columns with the same rows are one column of their number's weight
     same = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight"))
-    blocks = cut(every.join(same.select("h", "weight"), "h"))
-    # of each row: size, the end of its kept shingles, kept shingles that no other row shares, and what the rest can add
-    shared = blocks.groupBy("node").agg(F.sum("weight").alias("shared"))
+    # of each entry the weight of its row's entries from it on, columns with fewer rows first
+    onward = Window.partitionBy("node").orderBy(F.desc("k"), F.desc("h")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = cut(every.join(same.select("h", "k", "weight"), "h").withColumn("onward", F.sum("weight").over(onward)).drop("k"))
+    # of each row: size, the end of its kept shingles, and what the rest can add to an overlap
     sizes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash"))
     rest_of = F.expr(f"({percent} * n + 99) div 100 - 1")
-    info = cut(sizes.join(shared, "node").select("node", F.struct("n", "last_count", "last_hash", rest_of.alias("rest"), (rest_of + F.col("shared")).alias("most")).alias("d")).dropDuplicates(["node"]))
+    info = cut(sizes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", F.struct("n", "last_count", "last_hash", rest_of.alias("rest")).alias("d")).dropDuplicates(["node"]))
 
     def linked(proposed: DataFrame) -> DataFrame:
         """Of each x the partner that it shares most columns with, if that can be enough and is."""
@@ -220,19 +224,16 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         to = named.join(both, "h").select(F.col("node").alias("nx"), F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("ny"), "weight")
         links = cut(links.unionByName(linked(to)).distinct())
 
-    # what is left: in each column the smaller components against all others, with the whole number of shared entries
+    # what is left: in each column the smaller components against all others, if it can be the first that a pair shares
     named = cut(_named(blocks, connected_components(links, cut, "x", "y")))
     by = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = named.join(main, "h").join(info, "node")
-    a = mixed.filter("component <> main").select("h", F.col("node").alias("nx"), F.col("d").alias("x"), F.col("component").alias("cx"), "weight")
-    b = mixed.select("h", F.col("node").alias("ny"), F.col("d").alias("y"), F.col("component").alias("cy"), "main")
-    apart = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("x.most", "y.most", percent))
-    # a pair can meet in either order, so both are put under the smaller node first
-    flip = F.col("nx") > F.col("ny")
-    apart = apart.select(F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"), F.when(flip, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(flip, F.col("x")).otherwise(F.col("y")).alias("y"), "weight")
-    counts = apart.groupBy("nx", "ny").agg(F.sum("weight").alias("k"), F.first("x").alias("x"), F.first("y").alias("y")).filter(_reach("k + x.rest", "k + y.rest", percent))
-    links = cut(links.unionByName(_links(docs, counts.select(F.col("nx").alias("x"), F.col("ny").alias("y")), percent)))
+    a = mixed.filter("component <> main").select("h", F.col("node").alias("nx"), F.col("d").alias("x"), F.col("component").alias("cx"), F.col("onward").alias("ox"))
+    b = mixed.select("h", F.col("node").alias("ny"), F.col("d").alias("y"), F.col("component").alias("cy"), F.col("onward").alias("oy"), "main")
+    apart = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("least(ox, oy) + x.rest", "least(ox, oy) + y.rest", percent))
+    pairs = apart.select(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).distinct()
+    links = cut(links.unionByName(_links(docs, pairs, percent)))
     label = connected_components(links, cut, "x", "y")
 
     rep = sizes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -240,7 +241,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
-    return blocks.select("h", "node", "n", "weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return blocks.select("h", "node", "n", "weight", "onward").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
