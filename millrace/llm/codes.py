@@ -146,6 +146,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end: int = 0) -> DataFr
                     close()
         if held:
             close()
+        enc.rest()
         yield pa.record_batch([pa.array([n for n, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], ["name", "n_tokens"])
 
     from pyarrow import fs

@@ -91,6 +91,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = SIZE, most: int =
                     full = packer.take()
                     yield _rows([((part << 36) + k + i, False, ps) for i, ps in enumerate(full)])
                     k += len(full)
+        enc.rest()
         full = packer.take()
         yield _rows([((part << 36) + k + i, False, ps) for i, ps in enumerate(full)] + [((part << 36) + k + len(full) + i, True, ps) for i, (_, ps) in enumerate(packer.windows)])
 

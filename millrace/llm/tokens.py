@@ -22,7 +22,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share a machine's cores already
 
-WORDS, PIECES, CALL = 500_000, 100_000, 20_000
+WORDS, PIECES, CALL = 450_000, 100_000, 20_000
 #: Characters whose class is beyond doubt: ASCII without separators 1C-1F, Latin, Greek, Cyrillic, general punctuation.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7E¡-¬®-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞€]")
 _ENCODERS: dict[str, Encoder] = {}
@@ -45,6 +45,7 @@ class Encoder:
         #: a word -> its ids with the blank before it, or with the line feed that it begins with
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.last: list[str] = []
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros((2, max(vocabulary.values()) + 1), bool)  # tokens that begin with a blank, with a line feed
         for token, i in vocabulary.items():
@@ -89,6 +90,12 @@ class Encoder:
                 out[i] = self._pieces(texts[i]) + tail if ids is None else ids
         return out
 
+    def rest(self) -> None:
+        """Forget the words between tasks, but for those that the last batch had: other work on this machine needs the memory."""
+        self.words = {w: x for w in self.last if (x := self.words.get(w)) is not None}
+        self.parts.clear()
+        self.last = []
+
     def _by_words(self, texts: list[str], end: int) -> list[bytes | None]:
         """Ids of texts from their distinct words; None where white space stands in a row."""
         # a line feed before a text makes its first word like any other; its token gives way to the end id
@@ -102,7 +109,10 @@ class Encoder:
                 self.words = {w: x for w, x in zip(met, found) if x is not None}
             self._learn([w for w in new if w and w.isprintable()], False)
             self._learn([w for w in new if len(w) > 1 and w[0] == "\n" and w[1:].isprintable()], True)
-            found = [self.words.get(w, b"") for w in met]  # nothing for white space alone or inside
+            for i, x in enumerate(found):
+                if x is None:  # nothing for white space alone or inside
+                    found[i] = self.words.get(met[i], b"")
+        self.last = met
         size = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids, starts = np.frombuffer(b"".join(found), "<u4"), (np.cumsum(size) - size).astype(np.int32)
         n = size[place]
