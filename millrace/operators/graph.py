@@ -202,7 +202,8 @@ def divisive_communities(edges: DataFrame, score_initial: bool = False, local_ed
             if len(g) <= 500:
                 fresh |= shares_of_roots(g, alive)
         if many:  # large components: roots dealt to the executors
-            now = spark.createDataFrame([(a, b) for a in alive for b in alive[a] if a < b and label[a] in {label[v] for v, in many}], f"src {kind}, dst {kind}")
+            large = {label[v] for (v,) in many}
+            now = spark.createDataFrame([(a, b) for a in alive for b in alive[a] if a < b and label[a] in large], f"src {kind}, dst {kind}")
             fresh |= {(r.src, r.dst): 2 * r.betweenness for r in edge_betweenness(now, local_edges).collect()}
         known = {e: s for e, s in known.items() if e[0] not in touched} | fresh
         worst = max(round(s, 9) for s in known.values())
