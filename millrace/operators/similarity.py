@@ -46,9 +46,11 @@ def lsh_candidates(bands: DataFrame) -> DataFrame:
 
 
 def jaccard_of(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """id1, id2, similarity of the pairs that reach the threshold."""
-    lists = sets.groupBy("id").agg(F.collect_list("element").alias("s"))
-    both = pairs.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
+    """id1, id2, similarity of the pairs that reach the threshold.  Elements are compared by 64-bit hashes; sizes alone drop most pairs."""
+    lists = sets.groupBy("id").agg(F.collect_list(F.xxhash64("element")).alias("s"))
+    sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    near = pairs.join(sizes.select(F.col("id").alias("id1"), F.col("n").alias("n1")), "id1").join(sizes.select(F.col("id").alias("id2"), F.col("n").alias("n2")), "id2").filter(F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9)
+    both = near.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
     common = F.size(F.array_intersect("s1", "s2"))
     return both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
@@ -57,16 +59,22 @@ def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All pairs at the threshold.
 
     A pair must share one of the rarest n - ceil(t n) + 1 elements of each, and
-    sizes must be near enough, so common elements make no pairs.
+    sizes must be near enough, so common elements make no pairs.  Of the set
+    whose kept elements end first in the common order, only shared ones and the
+    rest can be in the overlap, so pairs with too few shared ones go as well.
     """
     rare = sets.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("id")
-    ranked = sets.join(rare, "element").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("df", "element")))
-    prefix = ranked.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "element", "n")
+    kept = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    ranked = sets.join(rare, "element").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("df", "element"))).filter(F.col("k") <= kept)
+    prefix = ranked.withColumn("last", F.max(F.struct("df", "element")).over(w)).select("id", F.xxhash64("element").alias("h"), "n", "last")
     a, b = prefix.alias("a"), prefix.alias("b")
     near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    pairs = a.join(b, (F.col("a.element") == F.col("b.element")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
-    return jaccard_of(sets, pairs, threshold)
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near)
+    counts = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.count(F.lit(1)).alias("c"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2"), F.first(F.col("a.last") <= F.col("b.last")).alias("first"))
+    rest = F.ceil(F.when(F.col("first"), F.col("n1")).otherwise(F.col("n2")) * threshold - 1e-9) - 1
+    need = (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-6
+    return jaccard_of(sets, counts.filter(F.col("c") + rest >= need).select("id1", "id2"), threshold)
 
 
 def lsh_similar(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
