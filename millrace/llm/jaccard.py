@@ -199,8 +199,9 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # columns with the same rows are one column of their number's weight
     same = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight"))
     # of each entry the weight of its row's entries from it on, columns with fewer rows first
-    onward = Window.partitionBy("node").orderBy(F.desc("k"), F.desc("h")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = cut(every.join(same.select("h", "k", "weight"), "h").withColumn("onward", F.sum("weight").over(onward)).drop("k"))
+    back = Window.partitionBy("node").orderBy(F.desc("k"), F.desc("h"))
+    onward = F.sum("weight").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = cut(every.join(same.select("h", "k", "weight"), "h").withColumn("onward", onward).withColumn("prior", F.lead("h").over(back)).drop("k"))
     # of each row: size, the end of its kept shingles, and what the rest can add to an overlap
     sizes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash"))
     rest_of = F.expr(f"({percent} * n + 99) div 100 - 1")
@@ -229,9 +230,10 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = named.join(main, "h").join(info, "node")
-    a = mixed.filter("component <> main").select("h", F.col("node").alias("nx"), F.col("d").alias("x"), F.col("component").alias("cx"), F.col("onward").alias("ox"))
-    b = mixed.select("h", F.col("node").alias("ny"), F.col("d").alias("y"), F.col("component").alias("cy"), F.col("onward").alias("oy"), "main")
-    apart = a.join(b, (a.h == b.h) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("least(ox, oy) + x.rest", "least(ox, oy) + y.rest", percent))
+    a = mixed.filter("component <> main").select("h", F.col("node").alias("nx"), F.col("d").alias("x"), F.col("component").alias("cx"), F.col("onward").alias("ox"), F.col("prior").alias("px"))
+    b = mixed.select("h", F.col("node").alias("ny"), F.col("d").alias("y"), F.col("component").alias("cy"), F.col("onward").alias("oy"), F.col("prior").alias("py"), "main")
+    fresh = F.col("px").isNull() | F.col("py").isNull() | (F.col("px") != F.col("py"))  # else the pair has met in the column before
+    apart = a.join(b, (a.h == b.h) & fresh & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("least(ox, oy) + x.rest", "least(ox, oy) + y.rest", percent))
     pairs = apart.select(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).distinct()
     links = cut(links.unionByName(_links(docs, pairs, percent)))
     label = connected_components(links, cut, "x", "y")
@@ -241,7 +243,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
-    return blocks.select("h", "node", "n", "weight", "onward").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return blocks.select("h", "node", "n", "weight", "onward", "prior").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
