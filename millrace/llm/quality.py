@@ -31,7 +31,7 @@ BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 4, 2
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 24, 40, 7
 SLABS = 32
 #: Characters of a batch that are indexed at once, and entries of a worker's word cache.
-CHUNK_WORDS, CACHE = 200_000, 400_000
+CHUNK_WORDS, CACHE = 200_000, 200_000
 
 
 def _shape(word: str) -> str:

@@ -22,7 +22,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share a machine's cores already
 
-WORDS, PIECES, CALL = 450_000, 100_000, 20_000
+WORDS, PIECES, CALL = 250_000, 50_000, 20_000
 #: Characters whose class is beyond doubt: ASCII without separators 1C-1F, Latin, Greek, Cyrillic, general punctuation.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7E¡-¬®-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞€]")
 _ENCODERS: dict[str, Encoder] = {}
