@@ -1,6 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its hashed character n-grams and itself; a window of
+A word is the bag of its hashed character n-grams and itself; an unbroken run of
+more than ``LONG`` characters counts as overlapping pieces of ``PIECE``, each a
+word, so all of it is read.  A window of
 ``WINDOW`` words is the mean of its words' mean subword vectors; a softmax over two classes
 reads that mean.  Embeddings and softmax are trained together by Adam on
 windows of a bounded sample of labelled documents (``SAMPLE`` of each class, by
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 6, (3, 4, 5), 6
+BUCKETS, DIM, GRAMS, WINDOW, LONG, PIECE = 1 << 16, 6, (3, 4, 5), 6, 40, 8
 #: CALIBRATE: the share of the sample that only fits the probability.
 SAMPLE, TRAIN_WINDOWS, RARE, DECAY, CALIBRATE, SEED, CACHE = 2000, 20_000, 3, 1e-7, 0.3, 11, 400_000
 #: (Adam steps, windows of a toxic document that count)
@@ -39,8 +41,19 @@ _LIKE = {"i": "1", "o": "0", "e": "3", "a": "@", "s": "5", "l": "1", "t": "7"}
 _STRIP = ".,;:!?\"'()[]{}|*#$%&…«»“”„-"
 
 
+def pieces(text: str) -> list[str]:
+    """What stands between white space; a run of more than LONG characters as overlapping pieces of PIECE, up to its end."""
+    runs = text.split()
+    if max(map(len, runs), default=0) <= LONG:
+        return runs
+    out = []
+    for w in runs:
+        out += [w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out
+
+
 def subwords(word: str) -> list[int]:
-    w = f"<{word.strip(_STRIP).lower()[:40]}>"
+    w = f"<{word.strip(_STRIP).lower()}>"
     if w == "<>":
         return []
     return [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS] + [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
@@ -66,11 +79,20 @@ class Model:
         all_texts, all_y = texts, y
         texts, y = [t for t, h in zip(texts, held) if not h], y[~held]
         vocab: dict[str, int] = {}
-        docs = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], np.int32) for t in texts]
+        docs = [np.array([vocab.setdefault(w, len(vocab)) for w in pieces(t)], np.int32) for t in texts]
         bags = [np.array(subwords(w), np.int32) for w in vocab] + [np.zeros(0, np.int32)]  # the last is the padding
         pad = len(vocab)
         spread = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=pad + 1)
         rare = spread < max(RARE, 0.01 * float((y == 1).sum()))
+        # a piece of a run hardly recurs, but its n-grams do: it keeps those of RARE documents or more
+        cut = [i for i in {vocab[p] for t in texts for w in t.split() if len(w) > LONG for p in pieces(w)} if rare[i]]
+        if cut:
+            met = np.zeros(BUCKETS, np.int64)
+            for d in docs:
+                met[np.unique(np.concatenate([bags[-1], *(bags[i] for i in np.unique(d))]))] += 1
+            for i in cut:
+                bags[i] = bags[i][met[bags[i]] >= RARE]
+                rare[i] = not len(bags[i])
         rows, owners = [], []
         for k, d in enumerate(docs):
             if y[k] == 1:  # a word of one toxic document alone says nothing about others
@@ -156,7 +178,7 @@ class Model:
     def evidence(self, text: str | None, cache: dict) -> float:
         """The worst window's logit."""
         found, last = [], None
-        for w in text.split() if text else ():
+        for w in pieces(text) if text else ():
             if w == last:  # a word said over and over counts once
                 continue
             last = w

@@ -74,6 +74,33 @@ def test_misspelt_insults_share_subwords():
     assert m.score(clean, {}) < 0.3 < m.score(clean + " wortthless one", {})
 
 
+def test_insults_late_in_unbroken_runs():
+    rng = random.Random(5)
+    han = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(2)) for _ in range(20)]
+
+    def unbroken(bad):
+        t = [rng.choice(han) for _ in range(rng.randint(40, 120))]
+        return "".join(t[:30] + ["\u7f75\u4eba\u8822\u8ca8"] * bad + t[30:])
+
+    def joined(bad):
+        w = sentence(rng, 30).split()
+        return rng.choice(",/_").join(w[:20] + ["halfwit"] * bad + w[20:])
+
+    for make in (unbroken, joined):
+        y = np.array([float(k % 2) for k in range(800)])
+        texts = [make(int(v)) for v in y]
+        m = toxicity.Model(texts[:500], y[:500])
+        assert np.mean([(m.score(t, {}) >= 0.3) == v for t, v in zip(texts[500:], y[500:])]) > 0.9
+
+
+@pytest.mark.parametrize("n", [0, 1, 39, 40, 41, 59, 60, 61, 80, 81, 1000])
+def test_pieces_hold_the_whole_run(n):
+    run = "".join(chr(0x4E00 + k) for k in range(n))
+    pieces = toxicity.pieces(run)
+    assert all(len(p) <= 40 for p in pieces) and {run[i : i + 5] for i in range(max(n - 4, 0))} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+    assert set(run) == set("".join(pieces))
+
+
 LANGS = {"en": WORDS, "xx": "qua zup vok zur mip qual zupo voki".split(), "yy": "ñandu señor año niño mañana otoño".split()}
 
 
