@@ -3,7 +3,8 @@
 Letters in lower case, with anything else as a border, give hashed character
 n-grams of 1 to GRAMS; a text's vector holds log(1 + tf) * idf, divided by its length.  The idf is counted over every document that
 may be learnt from.  For each language a bounded sample (``SAMPLE`` rows, by
-hash of doc_id) is clustered by spherical k-means into ``CENTROIDS`` centroids.
+hash of doc_id) is clustered by spherical k-means into ``CENTROIDS`` centroids;
+however many languages there are, each is learnt, one at a time in a task.
 
 A text goes to the language of its nearest centroid.  The score is the share
 of that language in a softmax over the languages' best cosines.  A text whose
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS, GRAMS, CENTROIDS, SAMPLE, LANGUAGES, SHARPNESS = 12, 3, 4, 800, 400, 12.0
+BITS, GRAMS, CENTROIDS, SAMPLE, SHARPNESS = 12, 3, 4, 800, 12.0
 DIM = 1 << BITS
 _MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
@@ -117,32 +118,36 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict:
     df = document_frequency(docs)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
-    sizes = learnable(docs).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = {r["lang"]: int(min(1.0, sample / r["count"]) * (1 << 30)) for r in sizes}  # LANGUAGES entries at most
-    model = {"idf": idf, "langs": [], "owner": [], "centroids": np.zeros((0, DIM), np.float32), "reject": []}
-    if not share:
-        return model
-    top = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    few = learnable(docs).filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < top)
+    sizes = learnable(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    top = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * (1 << 30)
+    few = learnable(docs).join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < F.floor(top))
 
     def run(batches):
         for batch in batches:
             out = [(d, lang, c) for d, lang, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()) if (c := _counts(t)) is not None]
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([np.minimum(o[2], 65535).astype(np.uint16).tobytes() for o in out], pa.binary())], ["doc_id", "lang", "counts"])
 
-    rows = common.map_arrow(few.select(F.col("doc_id").cast("long"), "text", "lang"), run, "doc_id long, lang string, counts binary").toArrow()
-    by: dict[str, list] = {}
-    for d, lang, raw in sorted(zip(rows["doc_id"].to_pylist(), rows["lang"].to_pylist(), rows["counts"].to_pylist()), key=lambda r: r[:2]):
-        by.setdefault(lang, []).append(_vector(np.frombuffer(raw, np.uint16), idf))
-    for lang in sorted(by):
-        x = np.array(by[lang], np.float32)
+    def fit(group: pa.Table) -> pa.Table:
+        got = sorted(zip(group["doc_id"].to_pylist(), group["counts"].to_pylist()))
+        x = np.array([_vector(np.frombuffer(raw, np.uint16), idf) for _, raw in got], np.float32)
         c = _cluster(x, centroids)
         near = x @ c.T
         own = near.argmax(1)
-        model["owner"] += [len(model["langs"])] * len(c)
-        model["reject"] += [float(np.quantile(near[own == j, j], 0.002)) * 0.6 if (own == j).any() else 0.0 for j in range(len(c))]
-        model["langs"].append(lang)
-        model["centroids"] = np.vstack([model["centroids"], c])
+        limit = [float(np.quantile(near[own == j, j], 0.002)) * 0.6 if (own == j).any() else 0.0 for j in range(len(c))]
+        return pa.table({"lang": group["lang"][:1], "centroids": pa.array([c.astype(np.float32).tobytes()], pa.binary()), "reject": pa.array([limit], pa.list_(pa.float64()))})
+
+    rows = common.map_arrow(few.select(F.col("doc_id").cast("long"), "text", "lang"), run, "doc_id long, lang string, counts binary")
+    # a bounded sample of one language in a task; the driver gets its centroids only
+    found = rows.groupBy("lang").applyInArrow(fit, "lang string, centroids binary, reject array<double>").collect()
+    model = {"idf": idf, "langs": [], "owner": [], "centroids": np.zeros((0, DIM), np.float32), "reject": []}
+    parts = []
+    for r in sorted(found, key=lambda r: r.lang):
+        parts.append(np.frombuffer(r.centroids, np.float32).reshape(-1, DIM))
+        model["owner"] += [len(model["langs"])] * len(parts[-1])
+        model["reject"] += r.reject
+        model["langs"].append(r.lang)
+    if parts:
+        model["centroids"] = np.vstack(parts)
     return model
 
 

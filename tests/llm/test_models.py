@@ -124,6 +124,13 @@ def test_languages(spark, empty):
     assert language.predict(docs, language.train(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_gets_centroids(spark):
+    rows = [(k, f"only{k % 410} words", f"l{k % 410}") for k in range(410 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.train(docs, sample=20, centroids=1)
+    assert set(model["langs"]) == {lang for k, _, lang in rows if not held(k)} and len(model["langs"]) > 400
+
+
 def test_bounded_sample_is_stable(spark):
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id for r in common.bounded_sample(df, 500, "x").collect()}
