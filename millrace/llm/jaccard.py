@@ -247,9 +247,10 @@ def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component; of repeated rows one."""
+    """The rows of docs that are the smallest doc_id of their component or have none; of rows equal in doc_id and text one."""
     keep = components(docs, percent).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    found = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").withColumn("_same_text", F.sha2("text", 256))
+    return found.dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

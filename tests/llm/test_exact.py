@@ -132,6 +132,12 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard.components(empty).count() == 0
 
 
+def test_one_of_each_keeps_different_texts(spark):
+    rows = [(None, "one two three"), (None, "four five six"), (None, "one two three"), (None, None), (7, "seven eight nine"), (7, "ten eleven twelve"), (7, "ten eleven twelve")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {tuple(r) for r in got} == set(rows)
+
+
 def test_jaccard_chains_and_hot_groups(spark):
     import random
 
