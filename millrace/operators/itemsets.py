@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import short_year, unquoted, without_zeros
 
+from .graph import checkpointed
+
 
 def prepare_transactions(raw: DataFrame, normalize_dates: bool = False) -> DataFrame:
     """basket_id (short date - customer without leading zeros) and item of raw (date, customer, product) rows."""
@@ -36,18 +39,24 @@ def _levels(members: DataFrame, keep: Column, max_size: int | None, scope: list[
     partial counts are shuffled rather than baskets.
     """
     held = members.select(*scope, "basket_id", F.array("item").alias("items"), "need")
-    out, size, items = None, 1, members.select(*scope, "basket_id", "item")
+    out, size, items, used = None, 1, members.select(*scope, "basket_id", "item"), []
     while max_size is None or size <= max_size:
-        found = held.groupBy(*scope, "items").agg(F.count(F.lit(1)).alias("support"), F.first("need").alias("need")).filter(keep).select(*scope, "items", F.lit(size).alias("size"), "support").persist()
+        found = checkpointed(held.groupBy(*scope, "items").agg(F.count(F.lit(1)).alias("support"), F.first("need").alias("need")).filter(keep).select(*scope, "items", F.lit(size).alias("size"), "support"))
+        for frame in used:  # read for the last time
+            frame.unpersist()
         if found.isEmpty():
             break
         out = found if out is None else out.unionByName(found)
-        held = held.join(found.select(*scope, "items"), [*scope, "items"], "left_semi")
+        kept = held.join(found.select(*scope, "items"), [*scope, "items"], "left_semi")
         if size == 1:
             single = found.select(*scope, F.col("items")[0].alias("item"))
-            items = items.join(single, [*scope, "item"], "left_semi").persist()
-        held = held.join(items, [*scope, "basket_id"]).filter(F.col("item") > F.element_at("items", -1)).select(*scope, "basket_id", F.concat("items", F.array("item")).alias("items"), "need")
+            items = items.join(single, [*scope, "item"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        used = [held] if size > 1 else []
+        held = kept.join(items, [*scope, "basket_id"]).filter(F.col("item") > F.element_at("items", -1)).select(*scope, "basket_id", F.concat("items", F.array("item")).alias("items"), "need")
+        held = held.persist(StorageLevel.MEMORY_AND_DISK)
         size += 1
+    for frame in (*used, held, items):
+        frame.unpersist()
     if out is None:
         out = held.groupBy(*scope, "items").agg(F.count(F.lit(1)).alias("support")).select(*scope, "items", F.lit(0).alias("size"), "support").limit(0)
     return out

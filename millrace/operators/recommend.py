@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array  # noqa: F401  part of the public surface for callers
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,8 @@ USER_FEATURES, ITEM_FEATURES = ("u_review_count", "u_useful", "u_average_stars",
 def assemble_features(pairs: DataFrame, users: DataFrame, items: DataFrame, noise_default: int = 2, extended: bool = False) -> DataFrame:
     """pairs with 6 features, or 8 if ``extended``; unknown users and items get the tables' means, and useful 0.
 
+    A mean of an empty table, or of a column with nulls only, counts as 0.
+
     users: user, review_count, useful, average_stars, fans.  items: item, review_count, stars, attributes (a map).
     """
     u = users.select("user", F.col("review_count").cast("double").alias("u_review_count"), F.col("useful").cast("double").alias("u_useful"), F.col("average_stars").alias("u_average_stars"), F.col("fans").cast("double").alias("u_fans"))
@@ -80,7 +83,7 @@ def assemble_features(pairs: DataFrame, users: DataFrame, items: DataFrame, nois
     names = list(USER_FEATURES + ITEM_FEATURES) if extended else [n for n in USER_FEATURES + ITEM_FEATURES if n not in ("u_fans", "b_wifi")]
     mean_u = u.agg(*[F.avg(c).alias(f"m_{c}") for c in USER_FEATURES]).first()
     mean_i = i.agg(*[F.avg(c).alias(f"m_{c}") for c in ITEM_FEATURES]).first()
-    default = {c: 0.0 if c == "u_useful" else (mean_u if c in USER_FEATURES else mean_i)[f"m_{c}"] for c in names}
+    default = {c: 0.0 if c == "u_useful" else (mean_u if c in USER_FEATURES else mean_i)[f"m_{c}"] or 0.0 for c in names}
     out = pairs.join(u, "user", "left").join(i, "item", "left")
     return out.select(*pairs.columns, *[F.coalesce(c, F.lit(default[c]).cast("double")).alias(c) for c in names])
 
@@ -100,6 +103,17 @@ def hybrid(cf: DataFrame, model: DataFrame, alpha: float = 0.1) -> DataFrame:
     return a.join(b, ["user", "item"]).select("user", "item", (alpha * F.col("a") + (1 - alpha) * F.col("b")).alias("prediction"))
 
 
+def model_errors(predictions: dict[str, DataFrame], train: DataFrame, truth: DataFrame) -> DataFrame:
+    """model, n, rmse, constant: each model's error on the pairs of truth that it predicts, beside that of the training mean."""
+    mean = train.agg(F.avg("stars").alias("m"))  # one row
+    out = []
+    for name, frame in predictions.items():
+        both = frame.groupBy("user", "item").agg(F.avg("prediction").alias("prediction")).join(truth.groupBy("user", "item").agg(F.avg("stars").alias("stars")), ["user", "item"]).crossJoin(F.broadcast(mean))
+        error = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("stars"), 2)))
+        out.append(both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), error("prediction").alias("rmse"), error("m").alias("constant")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def rmse(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     both = predicted.join(truth, ["user", "item"])
     return both.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("stars"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n"))

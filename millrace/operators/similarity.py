@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 #: Hashes, bands and rows of a band; the modulus is a prime below 2^31.
 HASHES, BANDS, ROWS, MODULUS = 60, 30, 2, 2_147_483_647
 
@@ -77,6 +79,54 @@ def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     return jaccard_of(sets, counts.filter(F.col("c") + rest >= need).select("id1", "id2"), threshold)
 
 
-def lsh_similar(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs found by LSH and verified exactly."""
-    return jaccard_of(sets, lsh_candidates(lsh_bands(minhash(sets))), threshold)
+#: Words of 64 bits in a set's bitmap, which bounds overlaps before sets travel.
+BITMAP = 16
+
+
+def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, s, n of one set of each kind, its elements hashed and sorted; id, rep: every id and the smallest id with its set)."""
+    whole = sets.groupBy("id").agg(F.sort_array(F.collect_list(F.xxhash64("element"))).alias("s"))
+    keyed = whole.select("id", "s", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"))
+    rep = keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    member = keyed.select("id", "d1", "d2").join(rep, ["d1", "d2"]).select("id", "rep")
+    return whole.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").withColumn("n", F.size("s")), member
+
+
+def _bitmap(s: F.Column) -> F.Column:
+    """1 for each of the low bits that an element of the set has."""
+    places = F.array_distinct(F.transform(s, lambda x: x.bitwiseAND(64 * BITMAP - 1)))
+    word = lambda w: F.aggregate(F.filter(places, lambda p: F.shiftright(p, 6) == w), F.lit(0).cast("bigint"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(63).cast("int"))))
+    return F.array(*[word(w) for w in range(BITMAP)])
+
+
+def lsh_similar(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Pairs found by LSH and verified exactly.
+
+    Equal sets are one row until the end, so copies are compared once.  A pair
+    that meets in several bands is taken in the first; sizes and bitmaps, which
+    bound the overlap from above, are compared where the pair is made, so only
+    pairs that can reach the threshold are shuffled, and sets join those.
+    """
+    reps, member = folded(sets)
+    reps, member = checkpointed(reps), checkpointed(member)
+    signed = minhash(sets.join(reps.select("id"), "id", "left_semi"), bands * rows)
+    keys = F.array(*[F.xxhash64(*[F.col("signature")[i * rows + r] for r in range(rows)]) for i in range(bands)])
+    head = signed.select("id", keys.alias("keys")).join(reps.select("id", "n", _bitmap(F.col("s")).alias("b")), "id")
+    dealt = head.select("id", "n", "keys", "b", F.posexplode("keys").alias("band", "key"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    bits = lambda side, other: sum((F.bit_count(F.col(f"{side}.b")[w].bitwiseAND(F.bitwise_not(F.col(f"{other}.b")[w]))) for w in range(BITMAP)), F.lit(0))
+    most = F.least(F.col("x.n") - bits("x", "y"), F.col("y.n") - bits("y", "x"))
+    need = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-6
+    earlier = F.exists(F.arrays_zip(F.slice("x.keys", F.lit(1), F.col("x.band")).alias("a"), F.slice("y.keys", F.lit(1), F.col("x.band")).alias("b")), lambda k: k["a"] == k["b"])
+    near = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near & (most >= need) & ~earlier)
+    pairs = checkpointed(met.select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2")))
+    lists = reps.select("id", "s")
+    both = pairs.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
+    common = F.size(F.array_intersect("s1", "s2"))
+    found = both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    # members of either side, and the copies of a set among themselves
+    a, b = member.select(F.col("id").alias("a"), F.col("rep").alias("id1")), member.select(F.col("id").alias("b"), F.col("rep").alias("id2"))
+    across = found.join(a, "id1").join(b, "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "similarity")
+    copies = a.join(b.withColumnRenamed("id2", "id1"), "id1").filter("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(copies)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import BITS, affine_hash, byte_fold, hash_parameters, trailing_zeros
 
+from .graph import checkpointed
+
 
 def tick(df: DataFrame, seq: str, size: int, user: str) -> DataFrame:
     """Count-based batches of a stream with a gapless sequence number."""
@@ -59,14 +61,27 @@ def reservoir_snapshots(ticks: DataFrame, size: int = 100, slots: tuple[int, ...
     """After each batch n and the users at some slots of a uniform sample.
 
     The sample after n elements is the ``size`` elements of smallest hashed
-    sequence number.  An element that is not among the smallest of its own
-    prefix at its batch can never return, so each batch is cut to ``size`` rows
-    before samples are carried on, and a batch's sample follows from the rows
-    that came before it.
+    sequence number.  Batches fall into eras that double in length.  An element
+    of an era can only enter if it is smaller than the sample that the eras
+    before left, which about ``size`` elements of each era are.  So a batch
+    changes the sample in few places, the samples at those are computed, and
+    every batch takes the last one before it.
     """
-    ranked = ticks.withColumn("h", F.md5(F.col("seq").cast("string").cast("binary")))
-    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("batch").orderBy("h", "seq"))).filter(F.col("r") <= size)
-    ends = ticks.groupBy("batch").agg((F.max("seq") + 1).alias("n"))
-    rows = ends.select(F.col("batch").alias("at"), "n").join(best, F.col("batch") <= F.col("at"))
-    kept = rows.withColumn("slot", F.row_number().over(Window.partitionBy("at").orderBy("h", "seq")) - 1).filter(F.col("slot") < size)
-    return kept.groupBy("at", "n").agg(*[F.max(F.when(F.col("slot") == s, F.col("user_id"))).alias(f"id_{s}") for s in slots]).withColumnRenamed("at", "batch")
+    ranked = ticks.select("batch", "seq", "user_id", F.md5(F.col("seq").cast("string").cast("binary")).alias("h"), F.floor(F.log2(F.col("batch").cast("double") + 1)).alias("era"))
+    smallest = lambda df, key: df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("h", "seq"))).filter(F.col("_r") <= size).drop("_r")
+    best = checkpointed(smallest(ranked, "era"))  # at most size rows an era
+    eras = best.select(F.col("era").alias("now")).distinct()
+    before = checkpointed(smallest(eras.join(best, F.col("era") < F.col("now")).withColumnRenamed("era", "was"), "now"))  # a logarithm of the batches, squared, times size
+    bar = before.groupBy("now").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("h", "seq")).alias("last")).filter(F.col("k") >= size).select(F.col("now").alias("era"), "last")
+    able = ranked.join(F.broadcast(bar), "era", "left").filter(F.col("last").isNull() | (F.struct("h", "seq") < F.col("last"))).drop("last")
+    able = checkpointed(smallest(able, "batch"))
+    ends = ticks.groupBy("batch").agg((F.max("seq") + 1).alias("n")).withColumn("era", F.floor(F.log2(F.col("batch").cast("double") + 1)))
+    starts = ends.groupBy("era").agg(F.min("batch").alias("at"))
+    changes = checkpointed(able.select("era", F.col("batch").alias("at")).union(starts.select("era", "at")).distinct())
+    inside = changes.join(able.select("era", "batch", "h", "seq", "user_id"), "era").filter("batch <= at").select("at", "h", "seq", "user_id")
+    carried = changes.join(before.withColumnRenamed("now", "era"), "era").select("at", "h", "seq", "user_id")
+    held = inside.unionByName(carried).withColumn("slot", F.row_number().over(Window.partitionBy("at").orderBy("h", "seq")) - 1).filter(F.col("slot") < size)
+    shown = held.groupBy("at").agg(*[F.max(F.when(F.col("slot") == s, F.col("user_id"))).alias(f"id_{s}") for s in slots])
+    steps = changes.groupBy("era").agg(F.collect_list("at").alias("steps"))
+    placed = ends.join(F.broadcast(steps), "era").withColumn("at", F.array_max(F.filter("steps", lambda x: x <= F.col("batch"))))
+    return placed.join(F.broadcast(shown), "at").select("batch", "n", *[f"id_{s}" for s in slots])  # a row a change, which a logarithm of the batches bounds

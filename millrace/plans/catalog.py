@@ -264,15 +264,15 @@ def _ratings(s, d):
 
 
 def split(s, d):
-    """Train and test by order: every twentieth order is tested; some users and items are kept out of training, so cold branches occur."""
+    """Every rating in train or in test: every twentieth order is tested, and all ratings of some users and items, so cold branches occur."""
     r = _ratings(s, d)
-    train = r.filter((F.col("k") % 20 != 0) & (F.col("item") % 25 != 0) & (F.col("user") % 50 != 0)).select("user", "item", "stars")
-    return train, r.filter(F.col("k") % 20 == 0).groupBy("user", "item").agg(F.avg("stars").alias("stars"))
+    learnt = (F.col("k") % 20 != 0) & (F.col("item") % 25 != 0) & (F.col("user") % 50 != 0)
+    return r.filter(learnt).select("user", "item", "stars"), r.filter(~learnt).groupBy("user", "item").agg(F.avg("stars").alias("stars"))
 
 
 _SPLIT = """WITH r AS (SELECT o_orderkey AS k, o_custkey AS user, l_partkey AS item, 1.0 + CAST(l_quantity AS INT) % 5 AS stars FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 train AS (SELECT user, item, stars FROM r WHERE k % 20 <> 0 AND item % 25 <> 0 AND user % 50 <> 0),
-test AS (SELECT user, item, avg(stars) AS stars FROM r WHERE k % 20 = 0 GROUP BY 1, 2),
+test AS (SELECT user, item, avg(stars) AS stars FROM r WHERE NOT (k % 20 <> 0 AND item % 25 <> 0 AND user % 50 <> 0) GROUP BY 1, 2),
 one AS (SELECT user, item, avg(stars) AS stars FROM train GROUP BY 1, 2),
 ua AS (SELECT user, avg(stars) AS a FROM train GROUP BY 1), ia AS (SELECT item, avg(stars) AS a FROM train GROUP BY 1)"""
 _PEARSON = """,
@@ -293,10 +293,10 @@ pred AS (SELECT t.user, t.item, t.stars, coalesce(CASE WHEN ia.a IS NOT NULL AND
          FROM test t LEFT JOIN ua ON ua.user = t.user LEFT JOIN ia ON ia.item = t.item LEFT JOIN cf ON cf.user = t.user AND cf.item = t.item)"""
 
 
-@query(_SPLIT + " SELECT 'user' AS kind, user AS id, round(a, 6) AS mean FROM ua UNION ALL SELECT 'item', item, round(a, 6) FROM ia")
+@query(_SPLIT + " SELECT 'user' AS kind, user AS id, round(avg(stars), 6) AS mean FROM r GROUP BY user UNION ALL SELECT 'item', item, round(avg(stars), 6) FROM r GROUP BY item")
 def user_item_means(s, d):
-    train, _ = split(s, d)
-    side = lambda k: recommend.means(train, k).select(F.lit(k).alias("kind"), F.col(k).alias("id"), F.round("avg", 6).alias("mean"))
+    ratings = _ratings(s, d)
+    side = lambda k: recommend.means(ratings, k).select(F.lit(k).alias("kind"), F.col(k).alias("id"), F.round("avg", 6).alias("mean"))
     return side("user").unionByName(side("item"))
 
 
@@ -334,7 +334,7 @@ def error_histogram(s, d):
 def _metadata(s, d):
     c, o = t(s, d, "customer"), t(s, d, "orders").groupBy(F.col("o_custkey").alias("user")).agg(F.count(F.lit(1)).alias("review_count"), F.count_if(F.col("o_orderstatus") == "F").alias("useful"))
     users = c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("fans")).join(o, "user").withColumn("average_stars", 1 + (F.col("user") % 5).cast("double"))
-    p = t(s, d, "part").filter("p_retailprice >= 1000")
+    p = t(s, d, "part").filter("p_brand <> 'Brand#13'")  # the parts of one brand have no metadata, so defaults occur
     noise = F.when(F.col("p_size") % 5 == 0, "quiet").when(F.col("p_size") % 5 == 1, "average").when(F.col("p_size") % 5 == 2, "loud").when(F.col("p_size") % 5 == 3, "very_loud")
     wifi = F.when(F.col("p_size") % 4 == 0, "free").when(F.col("p_size") % 4 == 1, "no").when(F.col("p_size") % 4 == 2, "paid")
     items = p.select(F.col("p_partkey").alias("item"), F.col("p_size").alias("review_count"), (F.col("p_retailprice") / 500).alias("stars"), F.when(F.col("p_size") % 7 != 0, F.create_map(F.lit("NoiseLevel"), noise, F.lit("WiFi"), wifi)).alias("attributes"))
@@ -345,7 +345,7 @@ _META = """,
 us AS (SELECT c_custkey AS user, n AS review_count, f AS useful, 1.0 + c_custkey % 5 AS average_stars, c_nationkey AS fans FROM customer JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_acctbal >= 0),
 it AS (SELECT p_partkey AS item, p_size AS review_count, p_retailprice / 500 AS stars,
        CASE WHEN p_size % 7 = 0 THEN 3 WHEN p_size % 5 = 0 THEN 1 WHEN p_size % 5 = 1 THEN 2 WHEN p_size % 5 = 2 THEN 3 WHEN p_size % 5 = 3 THEN 4 ELSE 3 END AS noise,
-       CASE WHEN p_size % 7 = 0 THEN -1 WHEN p_size % 4 = 0 THEN 2 WHEN p_size % 4 = 1 THEN 0 ELSE -1 END AS wifi FROM part WHERE p_retailprice >= 1000),
+       CASE WHEN p_size % 7 = 0 THEN -1 WHEN p_size % 4 = 0 THEN 2 WHEN p_size % 4 = 1 THEN 0 ELSE -1 END AS wifi FROM part WHERE p_brand <> 'Brand#13'),
 mu AS (SELECT avg(review_count) AS rc, avg(average_stars) AS st, avg(fans) AS fa FROM us), mi AS (SELECT avg(review_count) AS rc, avg(stars) AS st, avg(noise) AS no, avg(wifi) AS wi FROM it)"""
 
 
@@ -397,6 +397,23 @@ def hybrid_predict(s, d):
     return recommend.hybrid(recommend.cf_predict(train, test), model)
 
 
+@query(_SPLIT + " SELECT user, item, true AS in_range FROM test")
+def gbt_coverage(s, d):
+    """One prediction for each pair of the test, near the scale of the ratings."""
+    return _model(s, d)[2].select("user", "item", F.col("prediction").between(0, 6).alias("in_range"))
+
+
+@query(_SPLIT + """, k AS (SELECT count(*) AS n, round(sqrt(avg((stars - (SELECT avg(stars) FROM train)) * (stars - (SELECT avg(stars) FROM train)))), 6) AS constant FROM test)
+SELECT model, n, constant, true AS comparable FROM k, (VALUES ('6 features'), ('8 features'), ('hybrid'), ('cf')) m(model)""")
+def model_errors(s, d):
+    """Errors of the models beside that of a constant: the ratings of these tables are random, so none can be much better, and none may be much worse."""
+    train, test, six = _model(s, d)
+    _, _, eight = _model(s, d, True)
+    six, eight, cf = (graph.checkpointed(x) for x in (six, eight, recommend.cf_predict(train, test)))
+    errors = recommend.model_errors({"6 features": six, "8 features": eight, "hybrid": recommend.hybrid(cf, six), "cf": cf}, train, test)
+    return errors.select("model", "n", F.round("constant", 6).alias("constant"), (F.col("rmse") < 1.1 * F.col("constant")).alias("comparable"))
+
+
 # ------------------------------------------------------------------------ graph
 
 
@@ -461,6 +478,15 @@ def divisive_communities(s, d):
     return graph.divisive_communities(_edges(s, d))[0]
 
 
+@query(_REACH + " SELECT id, component, true AS inside FROM comp")
+def divisive_members(s, d):
+    """Every node is in one community, and no community reaches beyond a component."""
+    e = _edges(s, d)
+    found = graph.divisive_communities(e)[0].join(graph.components(e), "id")
+    first = found.groupBy("community").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return found.join(first, "community").select("id", "component", (F.col("lo") == F.col("hi")).alias("inside"))
+
+
 # --------------------------------------------------------------------- sketches
 
 
@@ -501,6 +527,14 @@ def hll_estimate(s, d):
     return sketch.hll_per_batch(_ticks(s, d))
 
 
+@query("SELECT event_id // 100 AS batch, count(DISTINCT user_id) AS truth, true AS near FROM events GROUP BY 1")
+def hll_near(s, d):
+    """The estimate is within six standard errors, or two, of the exact number."""
+    ticks = _ticks(s, d)
+    both = sketch.hll_per_batch(ticks).join(sketch.distinct_per_batch(ticks), "batch")
+    return both.select("batch", "truth", (F.abs(F.col("estimate") - F.col("truth")) <= 0.3 * F.col("truth") + 2).alias("near"))
+
+
 @query("""WITH k AS (SELECT event_id // 100 AS batch, event_id AS seq, CAST(user_id AS VARCHAR) AS u, md5(CAST(event_id AS VARCHAR)) AS h FROM events), b AS (SELECT batch, max(seq) + 1 AS n FROM k GROUP BY 1),
 r AS (SELECT b.batch, b.n, u, row_number() OVER (PARTITION BY b.batch ORDER BY h, seq) - 1 AS slot FROM b JOIN k ON k.batch <= b.batch)
 SELECT batch, n, max(u) FILTER (slot = 0) AS id_0, max(u) FILTER (slot = 20) AS id_20, max(u) FILTER (slot = 40) AS id_40, max(u) FILTER (slot = 60) AS id_60, max(u) FILTER (slot = 80) AS id_80 FROM r GROUP BY 1, 2""")
@@ -513,12 +547,16 @@ def stream_tick_counts(s, d):
     return live.tick_counts(s, f"{d}/events.parquet", 100)
 
 
-@query()
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS user_id FROM events ORDER BY md5('553:' || event_id), event_id LIMIT 100")
 def stream_reservoir(s, d):
     return live.reservoir(s, f"{d}/events.parquet", 100)
 
 
-@query()
+_SHARDED = _TICKS + ", y AS (SELECT *, CAST('0x' || substr(md5(u), 1, 7) AS BIGINT) % 8 AS shard FROM x)"
+
+
+@query(_SHARDED + f""", f AS (SELECT shard, place, min(batch) AS since FROM ({" UNION ALL ".join(f"SELECT shard, {p} AS place, batch FROM y" for p in _PLACES)}) GROUP BY 1, 2)
+SELECT y.batch, count(*) FILTER ({" AND ".join(f"f{i}.since < y.batch" for i in range(4))}) AS positives FROM y {" ".join(f"JOIN f f{i} ON f{i}.shard = y.shard AND f{i}.place = {p}" for i, p in enumerate(_PLACES))} GROUP BY 1""")
 def stream_bloom(s, d):
     return live.bloom(s, f"{d}/events.parquet", 100)
 
@@ -559,6 +597,41 @@ def bfr_labels(s, d):
     return clustering.bfr(_points(s, d), 10)[1]
 
 
+@query("WITH c AS (SELECT CAST('0x' || substr(md5('1:' || vec_id), 1, 7) AS BIGINT) % 5 + 1 AS chunk FROM embeddings) SELECT CAST(i AS INT) AS round, count(*) AS points FROM generate_series(1, 5) g(i) JOIN c ON chunk <= i GROUP BY i")
+def bfr_points(s, d):
+    """After each round every point read so far is in one of the three sets."""
+    return clustering.bfr(_points(s, d), 10)[0].select("round", (F.col("ds_points") + F.col("cs_points") + F.col("rs_points")).alias("points"))
+
+
+@query("SELECT vec_id AS id, true AS known FROM embeddings")
+def bfr_coverage(s, d):
+    """Every id has one label: a cluster below k, or -1."""
+    return clustering.bfr(_points(s, d), 10)[1].select("id", F.col("cluster").between(-1, 9).alias("known"))
+
+
 @query()
 def kmeans_labels(s, d):
     return clustering.k_means(_points(s, d), 10).select("id", "cluster")
+
+
+@query("SELECT count(*) AS n, 10 AS labels, true AS closer FROM embeddings")
+def kmeans_summary(s, d):
+    """Ten labels, and clusters whose spread is less than that of all points."""
+    p = _points(s, d)
+    got = graph.checkpointed(clustering.k_means(p, 10))
+    spread = lambda stats: stats.agg(F.sum(F.col("sumsq") - F.col("sum") * F.col("sum") / F.col("n")).alias("spread"))
+    inner, whole = spread(clustering.cluster_stats(got)), spread(clustering.cluster_stats(got.withColumn("cluster", F.lit(0)))).withColumnRenamed("spread", "all")
+    sizes = got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").cast("int").alias("labels"))
+    return sizes.crossJoin(inner).crossJoin(whole).select("n", "labels", (F.col("spread") < F.col("all")).alias("closer"))  # one row each
+
+
+@query(_STATS + ", d AS (SELECT vec_id AS id, c.cluster, sqrt(sum((x - m) * (x - m) / v)) AS dist FROM l JOIN c ON c.dim = l.i - 1 GROUP BY 1, 2) SELECT id, arg_min(cluster, dist) AS cluster FROM d GROUP BY id HAVING min(dist) < 2 * sqrt(64) * 0.5")
+def mahalanobis_within(s, d):
+    """Points nearer than a limit to their nearest cluster."""
+    p = _points(s, d)
+    return clustering.mahalanobis(p, clustering.cluster_stats(p)).filter(F.col("dist") < 2 * 64**0.5 * 0.5).select("id", "cluster")
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS cluster, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
+def label_sizes(s, d):
+    return clustering.with_size(t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cluster"))).select("id", "cluster", "n")

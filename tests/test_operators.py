@@ -298,3 +298,147 @@ def test_tick_source(spark, tmp_path):
     df = spark.read.format("ticks").option("path", str(tmp_path / "users.txt")).option("size", 5).option("asks", 3).load()
     rows = df.collect()
     assert len(rows) == 15 and {r.user_id for r in rows} <= {"a", "b", "c"} and sorted(map(tuple, df.collect())) == sorted(map(tuple, rows))
+
+
+def test_k_means_ignores_other_columns(spark):
+    rows = [(i, [float(i % 2) * 9, float(i)], 5, [1.0], "x") for i in range(20)]
+    df = frame(spark, rows, "id long, features array<double>, cluster long, v array<double>, prediction string")
+    got = clustering.k_means(df, 2)
+    assert got.columns == ["id", "features", "cluster"] and got.count() == 20 and got.select("cluster").distinct().count() == 2
+
+
+def test_features_of_empty_tables(spark):
+    users = readers.in_memory(spark, [], "user string, review_count long, useful long, average_stars double, fans long")
+    items = readers.in_memory(spark, [], "item string, review_count long, stars double, attributes map<string,string>")
+    pairs = frame(spark, [("u", "i", 4.0), ("v", "i", 2.0)], "user string, item string, stars double")
+    got = recommend.assemble_features(pairs, users, items, 3, True)
+    assert [tuple(r)[3:] for r in got.collect()] == [(0.0,) * 8] * 2
+    assert recommend.gbt_fit_predict(got, got).count() == 2
+
+
+def test_model_errors_beside_a_constant(spark):
+    train = frame(spark, [("u", "i", 1.0), ("u", "j", 3.0)], "user string, item string, stars double")
+    truth = frame(spark, [("u", "k", 4.0), ("v", "k", 2.0)], "user string, item string, stars double")
+    good = truth.withColumnRenamed("stars", "prediction")
+    got = {r.model: r for r in recommend.model_errors({"a": good, "b": good.withColumn("prediction", F.lit(2.0))}, train, truth).collect()}
+    assert (got["a"].rmse, got["a"].n) == (0.0, 2) and got["b"].rmse == got["b"].constant == pytest.approx(math.sqrt(2))
+
+
+def test_summaries_merge_first_pair_first():
+    import numpy as np
+
+    def plain(names, n, s, q, limit):
+        table = {c: (n[k], s[k].copy(), q[k].copy()) for k, c in enumerate(names)}
+        name = {c: c for c in names}
+
+        def gap(a, b):
+            (n1, s1, q1), (n2, s2, q2) = table[a], table[b]
+            d = (s1 / n1 - s2 / n2) ** 2
+            v = [np.maximum(q_ / n_ - (s_ / n_) ** 2, clustering.FLOOR) for n_, s_, q_ in (table[a], table[b])]
+            return min(np.sqrt((d / x).sum()) for x in v)
+
+        while True:
+            hit = next(((a, b) for a, b in itertools.combinations(sorted(table), 2) if gap(a, b) < limit), None)
+            if hit is None:
+                return name
+            a, b = hit
+            table[a] = tuple(x + y for x, y in zip(table[a], table.pop(b)))
+            name = {c: a if k == b else k for c, k in name.items()}
+
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        k = int(rng.integers(1, 25))
+        points = [rng.normal(rng.integers(0, 5, 2) * 4, 1, (int(rng.integers(2, 6)), 2)) for _ in range(k)]
+        n, s, q = np.array([len(p) for p in points], float), np.array([p.sum(0) for p in points]), np.array([(p**2).sum(0) for p in points])
+        names = sorted(rng.choice(1000, k, replace=False).tolist())
+        assert clustering.merged(names, n, s, q, 2.0 + trial / 10) == plain(names, n, s, q, 2.0 + trial / 10)
+
+
+def test_summaries_add_up(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.random(), rng.random()], i % 3) for i in range(50)]
+    p = frame(spark, rows, "id long, features array<double>, cluster long")
+    whole = {(r.cluster, r.dim): (r.n, round(r["sum"], 9), round(r.sumsq, 9)) for r in clustering.cluster_stats(p).collect()}
+    parts = clustering.added(clustering.cluster_stats(p.filter("id < 20")), clustering.cluster_stats(p.filter("id >= 20")))
+    assert {(r.cluster, r.dim): (r.n, round(r["sum"], 9), round(r.sumsq, 9)) for r in parts.collect()} == whole
+
+
+def test_nearest_of_many_clusters(spark):
+    rng = random.Random(4)
+    p = frame(spark, [(i, [rng.random() * 100, rng.random() * 100], i // 2) for i in range(700)], "id long, features array<double>, cluster long")  # more clusters than a block
+    stats = clustering.cluster_stats(p)
+    table = {}
+    for r in stats.collect():
+        table.setdefault(r.cluster, {})[r.dim] = (r["sum"] / r.n, max(r.sumsq / r.n - (r["sum"] / r.n) ** 2, clustering.FLOOR))
+    for r in clustering.mahalanobis(p.limit(20), stats).join(p, "id").select("id", "features", "dist").collect():
+        assert r.dist == pytest.approx(min(math.sqrt(sum((x - c[k][0]) ** 2 / c[k][1] for k, x in enumerate(r.features))) for c in table.values()))
+
+
+def test_bfr_with_many_retained_points(spark):
+    """More retained points than any limit on their clusters, copies among them."""
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1e4, 1e4), rng.uniform(-1e4, 1e4)]) for i in range(500)]
+    rows += [(500 + i, list(rows[i][1])) for i in range(20)]
+    p = frame(spark, rows, "id long, features array<double>")
+    rounds, labels = clustering.bfr(p, 2, rounds=2)
+    assert sorted(r.id for r in labels.collect()) == list(range(520))
+    last = rounds.orderBy(F.desc("round")).first()
+    assert last.ds_points + last.cs_points + last.rs_points == 520
+    assert labels.filter("cluster >= 0").count() == last.ds_points
+
+
+def test_divisive_search_in_tables(spark):
+    e = frame(spark, EDGES, "src string, dst string")
+    found, q = graph.divisive_communities(e, local_edges=0)
+    assert q == pytest.approx(0.3571428571) and {r.id: r.community for r in found.collect()} == {**dict.fromkeys("abc", "a"), **dict.fromkeys("def", "d")}
+    rng = random.Random(11)
+    edges = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(18)})
+    e = frame(spark, edges, "src long, dst long")
+    a, b = graph.divisive_communities(e), graph.divisive_communities(e, local_edges=0)
+    assert a[1] == pytest.approx(b[1])
+    one = lambda found: {r.id: r.community for r in found.collect()}
+    x, y = one(a[0]), one(b[0])
+    assert {frozenset(i for i in x if x[i] == c) for c in set(x.values())} == {frozenset(i for i in y if y[i] == c) for c in set(y.values())}
+
+
+def test_divisive_golden_value(spark):
+    from millrace.plans import catalog
+
+    edges = catalog._edges(spark, "/root/testdata/sf0.01")
+    found, q = graph.divisive_communities(edges)
+    assert q == pytest.approx(0.9131818696, abs=1e-9) and found.select("community").distinct().count() == 52
+
+
+def test_betweenness_in_blocks_and_by_sample(spark):
+    rng = random.Random(12)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    e = frame(spark, edges, "src long, dst long")
+    whole = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(e).collect()}
+    blocks = {(r.src, r.dst): r.betweenness for r in graph._frontier_betweenness(e, rows=400).collect()}
+    assert blocks == pytest.approx(whole)
+    part = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(e, 0, share=0.5).collect()}
+    assert set(part) == set(whole) and sum(part.values()) == pytest.approx(sum(whole.values()), rel=0.4)
+
+
+def test_samples_do_not_grow_with_the_square_of_batches(spark):
+    users = [f"{i}" for i in range(6000)]
+    slots = tuple(range(10))
+    for size, step in ((10, 7), (10, 1), (3, 50)):
+        data = [users[i : i + step] for i in range(0, len(users) if step > 1 else 600, step)]
+        got = sketch.reservoir_snapshots(ticks(spark, data), size, slots[:size]).orderBy("batch").collect()
+        assert len(got) == len(data)
+        import hashlib
+
+        for r in random.Random(1).sample(got, 20):
+            best = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(r.n))[:size]
+            assert [r[f"id_{s}"] for s in slots[:size]] == [*[users[i] for _, i in best], *[None] * (size - len(best))]
+
+
+def test_lsh_folds_copies(spark):
+    base = {f"d{k}": [f"w{j}" for j in range(k, k + 30)] for k in range(0, 60, 3)}
+    sets = base | {f"copy{k}": base["d0"] for k in range(40)}
+    df = frame(spark, [(i, e) for i, s in sets.items() for e in s], "id string, element string")
+    exact = {(r.id1, r.id2): round(r.similarity, 9) for r in similarity.jaccard_exact(df).collect()}
+    found = {(r.id1, r.id2): round(r.similarity, 9) for r in similarity.lsh_similar(df).collect()}
+    assert set(found.items()) <= set(exact.items()) and len(found) >= 0.95 * len(exact)
+    assert sum(a.startswith("copy") and b.startswith("copy") for a, b in found) == 780
