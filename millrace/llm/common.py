@@ -8,18 +8,16 @@ otherwise; a null text counts as the empty text.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import Scratch, fresh_path, materialise, register, remove, shared_dir  # noqa: F401
+
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -28,15 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches; a worker gives free memory back after each task, since it outlives the task."""
-    small_batches(df.sparkSession)
+    """``fn`` over Arrow batches; a worker gives free memory back after each task, since it outlives the task.
+
+    Batches hold at most ``BATCH_ROWS`` rows, and ``BATCH_BYTES`` bytes or one
+    row, so what a worker holds is bounded.  Spark reads both limits from the
+    session when a frame is run, not when it is made, so the session keeps
+    them; a session with smaller limits of its own keeps those.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
@@ -56,31 +58,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    made = "file://" + folder
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: it outlives lost executors and is read any number of times."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def width(df: DataFrame) -> int:
     """Partitions for a shuffle of whole texts: as many as the scan has, or more if the session says so."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

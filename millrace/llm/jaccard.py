@@ -24,19 +24,26 @@ matrix with its transpose:
    Pairs inside a component need no count, so a group of near copies costs
    rows, not pairs, and no link between components is lost.
 
-Null and wordless texts have an empty set and link with nothing.  Repeated
-rows fall together.  Rows that share a doc_id are one node; rows without a
-doc_id have a null component.  An empty table gives no rows.
+A row of the matrix is a set, not a doc_id.  Rows that share a doc_id are one
+document, so their sets are in one component, and each of their texts is
+compared; a row without a doc_id links like any other, and its component_id is
+the smallest doc_id that it reaches, null if there is none.  Null and wordless
+texts have an empty set and link with nothing: their component_id is their
+doc_id.  Repeated rows fall together.  An empty table gives no rows.
+
+Columns of frequent shingles are salted into parts of about ``PART`` rows, so no
+task holds such a column whole.  Sets travel with 48 bits of each shingle's
+hash: an overlap of sets of n and m shingles is too large by one with a
+probability of n m / 2**48.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
@@ -44,7 +51,7 @@ from millrace.operators.components import connected_components
 from . import common
 from .shingles import Words, shingle_sets
 
-PERCENT, HEAVY, HEAVY_MIN, BUFFER = 80, 1 << 16, 8, 3_000_000
+PERCENT, HEAVY, HEAVY_MIN, BUFFER, PART = 80, 1 << 16, 8, 3_000_000, 1000
 #: Bits of the filter that keeps sets from travelling when no pair needs them; a false positive only costs bytes.
 FILTER_BITS = 1 << 24
 ROUNDS = 1
@@ -78,17 +85,27 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+#: The column that names a row by its doc_id and text.
+ROW = "__row"
+
+
+def _row() -> Column:
+    """128 bits of doc_id and text; null and empty are different."""
+    told = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), F.lit("\n"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("n")))
+    return F.unhex(F.md5(told.cast("binary")))
+
+
 def _signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
         cache, (hk, hn) = Words(), sent.value
         for batch in batches:
-            n, digest, prefix, last = [], [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), cache):
+            n, digest, prefix, parts, last = [], [], [], [], []
+            for s in shingle_sets(batch.column("text").to_pylist(), cache):
                 size = len(s)
                 n.append(size)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if size else None)
+                digest.append(_digest(s))
                 keep = size - -(-percent * size // 100) + 1 if size else 0
                 f = np.zeros(size, np.int64)
                 if len(hk):
@@ -96,27 +113,38 @@ def _signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent:
                     f = np.where(hk[at] == s, hn[at], 0)
                 order = np.argsort(f, kind="stable")[:keep]
                 prefix.append(s[order].view(np.int64))
+                parts.append((f[order] // PART + 1).astype(np.int32))
                 last.append((int(f[order[-1]]), int((s[order[-1]] ^ _SIGN).view(np.int64))) if size else (0, 0))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64())], ["doc_id", "n", "digest", "prefix", "last_count", "last_hash"])
+            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in ((prefix, np.int64), (parts, np.int32))]
+            yield pa.record_batch([batch.column(ROW), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists, pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64())], [ROW, "doc_id", "n", "digest", "prefix", "parts", "last_count", "last_hash"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return common.map_arrow(docs.select(_row().alias(ROW), "doc_id", "text"), run, f"{ROW} binary, doc_id {kind}, n long, digest binary, prefix array<long>, parts array<int>, last_count long, last_hash long")
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, prefix array<long>, last_count long, last_hash long")
+
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 24)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n and set (48 bits a shingle) of the documents that ``nodes`` may need."""
+    """node, set (48 bits a shingle) of nodes, which have node, digest and rep (a doc_id that has the set, or null)."""
 
     def mark(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            x = np.array(batch.column(0), np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 24)
+            x = _marks(np.array(batch.column(0), np.int64))
             np.bitwise_or.at(bits, x >> np.uint64(3), (1 << (x & np.uint64(7))).astype(np.uint8))
         for k, part in enumerate(bits.reshape(16, -1)):
             if part.any():
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["k", "bits"])
 
     bits = np.zeros((16, FILTER_BITS // 128), np.uint8)
-    marked = common.map_arrow(nodes.select(F.col("node").cast("long")).repartition(8), mark, "k int, bits binary")
+    marked = common.map_arrow(nodes.select(F.coalesce(F.col("rep").cast("long"), F.lit(0))).repartition(8), mark, "k int, bits binary")
     for r in marked.toLocalIterator():  # 8 * 16 parts of fixed size
         bits[r.k] |= np.frombuffer(r.bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits.ravel())
@@ -124,16 +152,15 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         cache, bits = Words(), sent.value
         for batch in batches:
-            d = np.array(batch.column(0).cast(pa.int64()), np.int64)
-            x = d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 24)
+            x = _marks(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
             keep = np.flatnonzero(bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1)
-            part = batch.take(pa.array(keep))
-            sets = shingle_sets(part.column(1).to_pylist(), cache)
-            raw = [np.sort(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
-            yield pa.record_batch([part.column(0), pa.array(raw, pa.binary())], ["node", "set"])
+            sets = [s for s in shingle_sets(batch.column(1).take(pa.array(keep)).to_pylist(), cache) if len(s)]
+            raw = [np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            yield pa.record_batch([pa.array(map(_digest, sets), pa.binary()), pa.array(raw, pa.binary())], ["digest", "set"])
 
-    found = common.map_arrow(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), run, f"node {docs.schema['doc_id'].dataType.simpleString()}, set binary")
-    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = common.map_arrow(docs.select("doc_id", "text"), run, "digest binary, set binary")
+    # of the rows with a set that is wanted one; others that passed the filter go before anything is shuffled by nodes
+    return found.groupBy("digest").agg(F.first("set").alias("set")).join(nodes.select("node", "digest"), "digest").select("node", "set")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -142,7 +169,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, ids: DataFrame, pairs: DataFrame, percent: int, cut) -> DataFrame:
     """The pairs x, y whose exact overlap reaches the bound of their sizes; only their sets travel."""
 
     def run(batches):
@@ -159,12 +186,12 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * overlap >= percent * (len(left) + len(right) - overlap))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
-    kind = dict(pairs.dtypes)["x"]
-    pairs = common.materialise(pairs.select("x", "y"), "jaccard")
-    sets = _sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    pairs = cut(pairs.select("x", "y"))
+    wanted = ids.select("node", "digest", "rep").join(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi")
+    sets = _sets(docs, wanted)
     with_x = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
     with_y = with_x.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
-    return common.map_arrow(with_y.select("x", "y", "sx", "sy"), run, f"x {kind}, y {kind}")
+    return common.map_arrow(with_y.select("x", "y", "sx", "sy"), run, "x long, y long")
 
 
 def _near(a, b, percent: int):
@@ -184,62 +211,83 @@ def _reach(most_x: str, most_y: str, percent: int):
     return F.expr(f"CASE WHEN {first} THEN {most_x} ELSE {most_y} END >= {need}")
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    cut = functools.partial(common.materialise, name="jaccard")
+def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n, digest of every row; digest, component, component_id of every set)."""
+    cut = scratch.cut
     sig = cut(_signatures(docs, heavy_shingles(docs), percent))
-    sound = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
-    # columns with two rows or more whose sizes are near enough
-    w = Window.partitionBy("h").orderBy("n", "node")
+    sound = sig.filter(F.col("digest").isNotNull())
+    ids = cut(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash")).withColumn("node", F.monotonically_increasing_id()))
+    kept = sound.groupBy("digest").agg(F.first(F.struct("n", "prefix", "parts")).alias("k")).join(ids.select("digest", "node"), "digest")
+    entries = kept.select("node", "k.n", F.explode(F.arrays_zip("k.prefix", "k.parts")).alias("e")).select("node", "n", F.col("e.prefix").alias("h"), (F.col("e.parts") > 1).alias("hot"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("e.parts")).cast("int").alias("salt"))
+    # columns with two rows or more whose sizes are near enough; of a salted column every row may have such a one in another part
+    w = Window.partitionBy("h", "salt").orderBy("n", "node")
     lag, lead = F.lag("n").over(w), F.lead("n").over(w)
-    seen = entries.select("h", "node", "n", F.when(lag.isNotNull() & _near(lag, F.col("n"), percent), F.lag("node").over(w)).alias("before"), (lead.isNotNull() & _near(lead, F.col("n"), percent)).alias("after"))
-    every = cut(seen.filter(F.col("before").isNotNull() | F.col("after")).drop("after"))
+    seen = entries.select("h", "salt", "node", "n", "hot", F.when(lag.isNotNull() & _near(lag, F.col("n"), percent), F.lag("node").over(w)).alias("before"), (lead.isNotNull() & _near(lead, F.col("n"), percent)).alias("after"))
+    every = cut(seen.filter(F.col("before").isNotNull() | F.col("after") | F.col("hot")).drop("after", "hot"))
     # columns with the same rows are one column of their number's weight
-    same = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight"))
+    same = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight")).filter("k > 1")
     # of each entry the weight of its row's entries from it on, columns with fewer rows first
     back = Window.partitionBy("node").orderBy(F.desc("k"), F.desc("h"))
     onward = F.sum("weight").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     blocks = cut(every.join(same.select("h", "k", "weight"), "h").withColumn("onward", onward).withColumn("prior", F.lead("h").over(back)).drop("k"))
     # of each row: size, the end of its kept shingles, and what the rest can add to an overlap
-    sizes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash"))
     rest_of = F.expr(f"({percent} * n + 99) div 100 - 1")
-    info = cut(sizes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", F.struct("n", "last_count", "last_hash", rest_of.alias("rest")).alias("d")).dropDuplicates(["node"]))
+    info = cut(ids.join(blocks.select("node").distinct(), "node", "left_semi").select("node", F.struct("n", "last_count", "last_hash", rest_of.alias("rest")).alias("d")))
 
     def linked(proposed: DataFrame) -> DataFrame:
         """Of each x the partner that it shares most columns with, if that can be enough and is."""
         counts = proposed.filter("nx <> ny").groupBy("nx", "ny").agg(F.sum("weight").alias("k"))
         counts = counts.join(info.select(F.col("node").alias("nx"), F.col("d").alias("x")), "nx").join(info.select(F.col("node").alias("ny"), F.col("d").alias("y")), "ny")
         counts = counts.filter(_near(F.col("x.n"), F.col("y.n"), percent) & _reach("k + x.rest", "k + y.rest", percent))
-        return _links(docs, counts.groupBy(F.col("nx").alias("x")).agg(F.max_by("ny", F.struct("k", -F.col("ny"))).alias("y")), percent)
+        return _links(docs, ids, counts.groupBy(F.col("nx").alias("x")).agg(F.max_by("ny", F.struct("k", -F.col("ny"))).alias("y")), percent, cut)
 
     # a size class spans a factor of less than 100 / percent, so its rows are near enough
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 0.999999)) if percent < 100 else F.col("n")
     first = blocks.withColumn("class", size_class)
-    lead_of = first.groupBy("h", "class").agg(F.min("node").alias("ny"))
-    links = cut(linked(first.join(lead_of, ["h", "class"]).select(F.col("node").alias("nx"), "ny", "weight").unionByName(blocks.filter("before is not null").select(F.col("node").alias("nx"), F.col("before").alias("ny"), "weight"))))
+    lead_of = first.groupBy("h", "class", "salt").agg(F.min("node").alias("ny"), F.first("weight").alias("weight"))
+    leads = lead_of.join(lead_of.groupBy("h", "class").agg(F.min("ny").alias("lead")).withColumnRenamed("h", "h2").withColumnRenamed("class", "class2"), (F.col("h") == F.col("h2")) & (F.col("class") == F.col("class2"))).select(F.col("ny").alias("nx"), F.col("lead").alias("ny"), "weight").filter("nx <> ny")  # the parts' first rows meet the column's
+    star = first.join(lead_of.drop("weight"), ["h", "class", "salt"]).select(F.col("node").alias("nx"), "ny", "weight")
+    links = cut(linked(star.unionByName(leads).unionByName(blocks.filter("before is not null").select(F.col("node").alias("nx"), F.col("before").alias("ny"), "weight"))))
     for _ in range(ROUNDS):
         named = _named(blocks, connected_components(links, cut, "x", "y"))
-        both = named.groupBy("h").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).filter("lo.component <> hi.component")
+        both = cut(named.groupBy("h").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).filter("lo.component <> hi.component"))  # a table, so that a large column's rows are split in the join
         to = named.join(both, "h").select(F.col("node").alias("nx"), F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("ny"), "weight")
         links = cut(links.unionByName(linked(to)).distinct())
 
     # what is left: in each column the smaller components against all others, if it can be the first that a pair shares
     named = cut(_named(blocks, connected_components(links, cut, "x", "y")))
     by = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = by.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    main = cut(by.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"))
     mixed = named.join(main, "h").join(info, "node")
     a = mixed.filter("component <> main").select("h", F.col("node").alias("nx"), F.col("d").alias("x"), F.col("component").alias("cx"), F.col("onward").alias("ox"), F.col("prior").alias("px"))
     b = mixed.select("h", F.col("node").alias("ny"), F.col("d").alias("y"), F.col("component").alias("cy"), F.col("onward").alias("oy"), F.col("prior").alias("py"), "main")
     fresh = F.col("px").isNull() | F.col("py").isNull() | (F.col("px") != F.col("py"))  # else the pair has met in the column before
     apart = a.join(b, (a.h == b.h) & fresh & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("least(ox, oy) + x.rest", "least(ox, oy) + y.rest", percent))
     pairs = apart.select(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).distinct()
-    links = cut(links.unionByName(_links(docs, pairs, percent)))
+    links = cut(links.unionByName(_links(docs, ids, pairs, percent, cut)).unionByName(_same_document(sound, ids)))
     label = connected_components(links, cut, "x", "y")
 
-    rep = sizes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return sig.select("doc_id", "n", "digest").join(rep, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    owned = ids.select("digest", "node", "rep").join(label, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
+    # components of more than one set; their smallest doc_id is a table, so that a large component's rows are split in the join
+    least = cut(ids.select("node", "rep").join(label, "node").groupBy("component").agg(F.min("rep").alias("least")))
+    out = cut(owned.join(least, "component", "left").select("digest", "component", F.coalesce("least", "rep").alias("component_id")))
+    return sig.select(ROW, "doc_id", "n", "digest"), out
+
+
+def _same_document(sound: DataFrame, ids: DataFrame) -> DataFrame:
+    """x, y: sets of rows that share a doc_id."""
+    several = sound.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id", "a")
+    others = sound.join(several, "doc_id").filter("digest <> a").select("a", "digest").distinct()
+    return others.join(ids.select(F.col("digest").alias("a"), F.col("node").alias("x")), "a").join(ids.select("digest", F.col("node").alias("y")), "digest").select("x", "y")
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    rows, sets = _classes(docs, percent, scratch)
+    out = scratch.cut(rows.join(sets, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    scratch.drop(out)
+    return out
 
 
 def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
@@ -247,10 +295,18 @@ def _named(blocks: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component or have none; of rows equal in doc_id and text one."""
-    keep = components(docs, percent).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    found = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").withColumn("_same_text", F.sha2("text", 256))
-    return found.dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
+    """The rows of docs that have the smallest doc_id of their component; of rows equal in doc_id and text one.
+
+    A component without any doc_id keeps one row; a text without words keeps its own.
+    """
+    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    rows, sets = _classes(docs, percent, scratch)
+    rows = rows.join(sets, "digest", "left")
+    own = rows.filter(F.col("digest").isNull() | (F.col("doc_id") == F.col("component_id"))).select(ROW)
+    nameless = rows.filter(F.col("digest").isNotNull() & F.col("component_id").isNull()).groupBy("component").agg(F.min(ROW).alias(ROW)).select(ROW)
+    keep = scratch.cut(own.unionByName(nameless).distinct())
+    scratch.drop(keep)
+    return docs.withColumn(ROW, _row()).join(keep, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
