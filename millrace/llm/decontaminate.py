@@ -8,20 +8,25 @@ or more means that a window of the state's items ends here; items shorter than
 a window count when they occur whole.  Words that no item has reset the
 automaton at once.
 
-The benchmark is the small side: it is read to the driver in blocks of at most
-``BLOCK_WORDS`` words, each giving one automaton that is broadcast, so what is
-sent at once has a fixed size; documents are passed once over each block.
+The benchmark's items are dealt to blocks of about ``BLOCK_WORDS`` words.  Tasks
+build a block's automaton and write it, as a few flat arrays, to the shared
+folder, so the benchmark does not pass through the driver.  A worker holds one
+automaton at a time, whose size the block bounds: with one block it stays, with
+several each batch of documents is passed over them one after the other.  An
+item longer than a block has a block of its own size.
 
 Null texts have no words.  Items without words never occur; items with the
-same text are separate items; repeated rows of an item count once.  Repeated
-documents get equal rows.  An empty benchmark hits nothing.
+same text are separate items; repeated rows of an item count once; an item
+without an item_id makes hits, as its words do occur, but is not listed or
+counted.  Repeated documents get equal rows.  An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
+import uuid
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +48,7 @@ def words(text: str | None) -> list[str]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; ``ends[s]`` lists what ends at state s."""
+    """Suffix automaton of several word sequences, as it is built; ``Matcher`` is what is kept of it."""
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW) -> None:
         self.window, self.vocab = window, {}
@@ -109,38 +114,68 @@ class Automaton:
             p = link[p]
         return new
 
-    def hits(self, ws: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+
+class Matcher:
+    """An automaton in flat arrays: 28 bytes a state, and an entry for each transition of a state that has several."""
+
+    def __init__(self, a: Automaton) -> None:
+        self.window, self.vocab, size = a.window, a.vocab, len(a.vocab)
+        self.items, self.whole, self.v = a.items, a.whole, size
+        self.root = array("i", [0]) * size
+        for c, t in a.next[0].items():
+            self.root[c] = t
+        # a state's only word and next state, or -2 and entries of ``more``
+        self.word, self.then, self.more = array("i", [-1]) * len(a.next), array("i", [0]) * len(a.next), {}
+        for s, step in enumerate(a.next):
+            if len(step) == 1:
+                ((self.word[s], self.then[s]),) = step.items()
+            elif s and step:
+                self.word[s] = -2
+                self.more.update({s * size + c: t for c, t in step.items()})
+        self.link, self.len = array("i", a.link), array("i", a.len)
+        self.at = array("i", (a.at.get(s, 0) for s in range(len(a.next))))
+        self.short = array("i", (a.short.get(s, 0) for s in range(len(a.next))))
+
+    def hits(self, ws: list[str]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Hit runs of words (begin, end) in order, overlapping ones joined, and the items that occur."""
-        nxt, link, length, at, short, window = self.next, self.link, self.len, self.at, self.short, self.window
+        root, word, then, more, v = self.root, self.word, self.then, self.more, self.v
+        link, length, at, short, window = self.link, self.len, self.at, self.short, self.window
         runs: list[list[int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         s = n = 0
         for i, c in enumerate(map(self.vocab.get, ws)):
             if c is None:
                 s = n = 0
                 continue
-            t = nxt[s].get(c)
-            if t is None:
-                while s and t is None:
-                    s = link[s]
-                    t = nxt[s].get(c)
+            if s:
+                w = word[s]
+                t = then[s] if w == c else more.get(s * v + c) if w == -2 else None
                 if t is None:
-                    s = n = 0
-                    continue
-                n = length[s]
-            s, n = t, n + 1
+                    s = link[s]
+                    while s:
+                        w = word[s]
+                        t = then[s] if w == c else more.get(s * v + c) if w == -2 else None
+                        if t is not None:
+                            break
+                        s = link[s]
+                    n = length[s]
+                    if not s:
+                        t = root[c]
+                s, n = t, n + 1
+            else:
+                s, n = root[c], 1
             reach = 0
             if n >= window:
                 reach = window
                 found |= self.items[at[s]]
-            if s in short or link[s] in short:
-                u = short.get(s, 0)
+            if short[s] or short[link[s]]:
+                u = short[s]
                 while u:
                     for k, names in self.whole[u].items():
                         if k <= n:
                             reach = max(reach, k)
                             found |= names
-                    u = short.get(link[u], 0)
+                    u = short[link[u]]
             if reach:
                 lo = i + 1 - reach
                 while runs and runs[-1][1] >= lo:
@@ -149,46 +184,80 @@ class Automaton:
         return [(a, b) for a, b in runs], found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
-    """Lists of (item_id as string, words) of at most ``limit`` words, unless one item alone has more."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        ws = words(r.text)
-        if r.item_id is None or not ws:
-            continue
-        if block and size + len(ws) > limit:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, ws))
-        size += len(ws)
-    yield block
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), limit: int = BLOCK_WORDS) -> DataFrame:
-    """Every document with ``keep`` columns, n_words, runs (flat begin, end pairs of words) and items (sorted ids)."""
-    sents = [docs.sparkSession.sparkContext.broadcast(pickle.dumps(Automaton(b, window))) for b in blocks(benchmark, limit)]
+def build(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> tuple[str, list[str]]:
+    """The folder and the names of the files of all blocks' matchers."""
+    spark = benchmark.sparkSession
+    folder = common.fresh_path(spark, "matchers")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+
+    def count(batches):
+        for batch in batches:
+            sizes = [len(words(t)) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([pa.array([sum(sizes)], pa.int64())], ["n"])
+
+    total = common.map_arrow(items.select("text"), count, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = -(-2 * total // limit) if total > limit else 1
+
+    def write(batches):
+        from pyarrow import fs
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, name, text in zip(*(batch.column(c).to_pylist() for c in ("block", "item_id", "text"))):
+                if ws := words(text):
+                    held.setdefault(b, []).append((name, ws))
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for b in sorted(held):
+            automaton = Automaton(sorted(held.pop(b), key=lambda x: (x[0] is None, x[0] or "", x[1])), window)
+            raw = pickle.dumps(Matcher(automaton))
+            del automaton
+            name, temporary = f"block-{b:06d}", f"{base}/_{b}.{uuid.uuid4().hex}"
+            with store.open_output_stream(temporary) as f:
+                f.write(raw)
+            store.move(temporary, f"{base}/{name}")
+            yield pa.record_batch([pa.array([name], pa.string())], ["name"])
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return folder, sorted(r.name for r in common.map_arrow(dealt.select("block", "item_id", "text"), write, "name string").collect())  # a name a block
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), limit: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
+    """Every document with ``keep`` columns, n_words, runs (flat begin, end pairs of words) and items (sorted ids); ``prefix`` goes before the three new names."""
+    folder, blocks = build(benchmark, window, limit)
     cols = list(dict.fromkeys(["doc_id", *keep, "text"]))
+    out = [c for c in cols if c in keep or c == "doc_id"]
 
     def run(batches):
-        automata = [pickle.loads(s.value) for s in sents]
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+
+        def load(name: str) -> Matcher:
+            with store.open_input_stream(f"{base}/{name}") as f:
+                return pickle.loads(f.read())
+
+        only = load(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
-            count, runs, items = [], [], []
-            for text in batch.column("text").to_pylist():
-                ws = words(text)
-                got, names = [], set()
-                for a in automata:
-                    r, f = a.hits(ws)
-                    got, names = got + r, names | f
-                if len(automata) > 1:
-                    got = merged(got)
-                count.append(len(ws))
-                runs.append([x for r in got for x in r])
-                items.append(sorted(names))
-            kept = [batch.column(c) for c in cols if c in keep or c == "doc_id"]
-            yield pa.record_batch([*kept, pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*(c for c in cols if c in keep or c == "doc_id"), "n_words", "runs", "items"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*cols).dtypes if n in keep or n == "doc_id")
-    return common.map_arrow(docs.select(*cols), run, f"{schema}, n_words bigint, runs array<bigint>, items array<string>")
+            split = [words(text) for text in batch.column("text").to_pylist()]
+            got: list[list] = [[] for _ in split]
+            names: list[set] = [set() for _ in split]
+            for name in blocks:
+                m = only or load(name)
+                for k, ws in enumerate(split):
+                    r, f = m.hits(ws)
+                    if r:
+                        got[k] += r
+                        names[k] |= f
+                del m
+            runs = [[x for r in (merged(g) if len(blocks) > 1 else g) for x in r] for g in got]
+            items = [sorted(x for x in f if x is not None) for f in names]
+            new = [pa.array([len(ws) for ws in split], pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.record_batch([*[batch.column(c) for c in out], *new], [*out, *(f"{prefix}{c}" for c in ("n_words", "runs", "items"))])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in out)
+    return common.map_arrow(docs.select(*cols), run, f"{schema}, `{prefix}n_words` bigint, `{prefix}runs` array<bigint>, `{prefix}items` array<string>")
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,19 +273,21 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """The documents without their hit passages; those with more than ``coverage`` of their words hit go altogether.
 
-    A passage runs from its first hit word to the end of its last; n_chars follows the text.
+    A passage runs from its first hit word to the end of its last; n_chars, if
+    there is one, follows the text.  Other columns may have any names.
     """
-    found = find(docs, benchmark, window, tuple(docs.columns))
-    cut = F.size("runs")
-    hit = F.expr("aggregate(transform(sequence(1, size(runs), 2), i -> runs[i] - runs[i - 1]), 0L, (a, x) -> a + x)")
-    kept = found.filter((cut <= 0) | (hit <= F.lit(coverage) * F.col("n_words")))
+    found = find(docs, benchmark, window, tuple(docs.columns), prefix="__")
+    cut = F.size("__runs")
+    hit = F.expr("aggregate(transform(sequence(1, size(__runs), 2), i -> __runs[i] - __runs[i - 1]), 0L, (a, x) -> a + x)")
+    kept = found.filter((cut <= 0) | (hit <= F.lit(coverage) * F.col("__n_words")))
 
     names = docs.columns
 
     def strip(batches):
         for batch in batches:
-            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-            for k, runs in enumerate(batch.column("runs").to_pylist()):
+            texts = batch.column("text").to_pylist()
+            sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else [0] * len(texts)
+            for k, runs in enumerate(batch.column("__runs").to_pylist()):
                 if runs:
                     spans = [m.span() for m in WORD.finditer(lower(texts[k]))]
                     parts, at = [], 0
@@ -225,7 +296,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
                         at = spans[b - 1][1]
                     texts[k] = "".join([*parts, texts[k][at:]])
                     sizes[k] = len(texts[k])
-            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                cols["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.record_batch([cols[c] for c in names], names)
 
     return common.map_arrow(kept, strip, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
