@@ -3,8 +3,10 @@
 1. One pass over all documents builds the word vectors.  Each word and each
    word shape has a hashed bucket; a bucket has a fixed sparse ternary index
    vector, and its context vector is the sum of its neighbours' index vectors
-   over the whole corpus.  A task adds up its own table of fixed size and
-   sends it in slabs, so what is shuffled and collected is bounded.
+   over the whole corpus; a word's takes the first two entries of theirs, a
+   shape's all.  A task adds up its own table of fixed size and sends it in
+   slabs; slabs are added up ``FAN`` tasks at a time, level by level, so no task
+   reads more than ``FAN`` of each, however many there are.
 2. A document is the mean of its words' unit vectors.  A bounded sample of
    labelled rows (``SAMPLE`` rows, by hash of doc_id) trains the network; a
    fifth of it fits the temperature.
@@ -22,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +32,14 @@ from . import common
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 4, 2
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 24, 40, 7
-SLABS = 32
+SLABS, FAN = 32, 64
 #: Characters of a batch that are indexed at once, and entries of a worker's word cache.
-CHUNK_WORDS, CACHE = 200_000, 200_000
+CHUNK_WORDS, CACHE = 500_000, 200_000
 
 
 def _shape(word: str) -> str:
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         k = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -69,6 +72,10 @@ def _codes(texts: list[str | None], cache: _Words) -> tuple[np.ndarray, np.ndarr
     return flat, ends
 
 
+def _slab(part: int, slab: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part], pa.int64()), pa.array([slab], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "slab", "vectors"])
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The context vectors of all buckets, from every document."""
 
@@ -92,19 +99,31 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                                     total += np.bincount(a * DIM + place[b, k], sign[b, k], BUCKETS * DIM)
         if total.any():
             cut = total.astype(np.float32).reshape(SLABS, -1)
-            yield pa.record_batch([pa.array(range(SLABS), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["slab", "vectors"])
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * SLABS, pa.int64()), pa.array(range(SLABS), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["part", "slab", "vectors"])
 
     def merge(batches):
-        sums: dict[int, np.ndarray] = {}
+        now, total = None, None
         for batch in batches:
-            for slab, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part, slab, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "slab", "vectors"))):
                 x = np.frombuffer(raw, np.float32)
-                sums[slab] = sums[slab] + x if slab in sums else x.astype(np.float64)
-        if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["slab", "vectors"])
-
-    parts = common.map_arrow(docs.select("text"), add, "slab int, vectors binary")
-    rows = common.map_arrow(parts.repartition(SLABS, "slab"), merge, "slab int, vectors binary").collect()  # SLABS rows of fixed size
+                if (part, slab) == now:
+                    total += x
+                    continue
+                if now:
+                    yield _slab(*now, total)
+                now, total = (part, slab), x.astype(np.float64)
+        if now:
+            yield _slab(*now, total)
+
+    source = docs.select("text")
+    parts, n = common.map_arrow(source, add, "part long, slab int, vectors binary"), source.rdd.getNumPartitions()
+    while True:
+        n = -(-n // FAN)
+        dealt = parts.withColumn("part", F.floor(F.col("part") / FAN)).repartition(SLABS * n, "part", "slab").sortWithinPartitions("part", "slab")
+        parts = common.map_arrow(dealt, merge, "part long, slab int, vectors binary")
+        if n <= 1:
+            break
+    rows = parts.collect()  # SLABS rows of fixed size
     out = np.zeros((SLABS, BUCKETS * DIM // SLABS), np.float32)
     for r in rows:
         out[r.slab] = np.frombuffer(r.vectors, np.float32)

@@ -6,7 +6,8 @@ word, so all of it is read.  A window of
 ``WINDOW`` words is the mean of its words' mean subword vectors; a softmax over two classes
 reads that mean.  Embeddings and softmax are trained together by Adam on
 windows of a bounded sample of labelled documents (``SAMPLE`` of each class, by
-hash of doc_id).  First each window takes its document's label; later rounds
+hash of doc_id).  A round takes at most ``TRAIN_WINDOWS`` windows of either
+class at random, and all of the worst ones; scoring reads every window.  First each window takes its document's label; later rounds
 keep, of a toxic document, only the windows that the model so far finds worst,
 and, of a clean one, the same as hard negatives.  A document is as toxic as its
 worst window; a logistic curve turns that into a probability, so one insult in
@@ -83,7 +84,8 @@ class Model:
         bags = [np.array(subwords(w), np.int32) for w in vocab] + [np.zeros(0, np.int32)]  # the last is the padding
         pad = len(vocab)
         spread = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=pad + 1)
-        rare = spread < max(RARE, 0.01 * float((y == 1).sum()))
+        rare = spread < RARE
+        # of toxic texts a word of fewer than RARE training documents is not read, in training only: it says nothing about others
         # a piece of a run hardly recurs, but its n-grams do: it keeps those of RARE documents or more
         cut = [i for i in {vocab[p] for t in texts for w in t.split() if len(w) > LONG for p in pieces(w)} if rare[i]]
         if cut:
@@ -95,7 +97,7 @@ class Model:
                 rare[i] = not len(bags[i])
         rows, owners = [], []
         for k, d in enumerate(docs):
-            if y[k] == 1:  # a word of one toxic document alone says nothing about others
+            if y[k] == 1:
                 d = np.where(rare[d], pad, d)
             d = np.concatenate([d, np.full(max(WINDOW - len(d), 0), pad)])
             view = np.lib.stride_tricks.sliding_window_view(d, WINDOW)[:: WINDOW // 2]
