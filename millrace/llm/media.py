@@ -3,6 +3,8 @@
 A text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, are the
 8-bit samples of one or more images (see webp).  The media table is written to
 the shared folder and read back; every figure comes from decoded pixels.
+``write_pixels`` writes the pixel arrays themselves; the query does not, as it
+would store each text a second time.
 
 Null texts count as empty and give 64 zero samples; equal texts give equal
 values; repeated rows are kept.  An empty table gives an empty table.
@@ -51,6 +53,13 @@ def decode(media: DataFrame) -> DataFrame:
     return common.map_arrow(media, run, ", ".join(f"`{n}` {t}" for n, t in media.dtypes) + ", width int, height int, pixels binary")
 
 
+def write_pixels(media: DataFrame, path: str) -> DataFrame:
+    """The decoded pixel arrays as a Parquet table at ``path``, read back."""
+    pixels = decode(media)
+    pixels.write.parquet(path)
+    return media.sparkSession.read.schema(pixels.schema).parquet(path)
+
+
 def feature(pixels: np.ndarray, width: int) -> str:
     """Size, sum, sum of squares, steps to the right neighbour, and a histogram of 8 bins."""
     x = pixels.astype(np.int64)

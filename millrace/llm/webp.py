@@ -7,9 +7,13 @@ An image whose red, blue and alpha codes have one symbol each, and that has
 literals only, is decoded with arrays: the code length at every bit position is
 looked up at once, and only the walk from code to code is a loop.
 
-The encoder keeps 8-bit samples in the green channel of images 64 wide, with
-one length-limited prefix code; more than 64 * 16384 samples go to several
-images, one after the other.
+The encoder takes 8-bit samples, 64 to a row; more than 64 * 16384 go to
+several images, one after the other.  It writes the shortest of: samples in the
+green channel of an image 64 wide, with one length-limited prefix code; the
+same after a predictor transform (left or above), where the differences have
+less entropy; a palette with bundled pixels, for 16 values or fewer; and four
+samples a pixel of an image 16 wide, with back-references and a colour cache,
+where much of the image has occurred before.  The width tells which it is.
 
 Fixed values follow the published format specification.
 """
@@ -23,8 +27,12 @@ import struct
 import numpy as np
 
 WIDTH, MOST_ROWS, LIMIT = 64, 16384, 12
+#: Bits of the encoder's colour cache, and the share of repeated pixels from which on back-references are tried.
+CACHE_BITS, REPEATED = 8, 0.25
 # The order in which the lengths of the code-length code are stored.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+# The shortest run and the bits for its length of the symbols that repeat the last length, or 0.
+_RUNS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}
 # The pixels (to the left, up) that distance codes 1 to 120 name.
 _NEAR = (
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2),
@@ -116,12 +124,13 @@ def _read_code(bits: Bits, size: int) -> Code:
             lengths[at] = s
             at += 1
             last = s or last
-        else:
-            value, run = ((last, 3 + bits.read(2)), (0, 3 + bits.read(3)), (0, 11 + bits.read(7)))[s - 16] if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-            if at + run > size:
-                raise ValueError("code lengths run over")
-            lengths[at : at + run] = [value] * run
-            at += run
+            continue
+        least, more = _RUNS[s]
+        run = least + bits.read(more)
+        if at + run > size:
+            raise ValueError("code lengths run over")
+        lengths[at : at + run] = [last if s == 16 else 0] * run
+        at += run
     return Code(lengths)
 
 
@@ -176,8 +185,10 @@ def _entropy_coded(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
                 d = max(1, x + y * width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference out of range")
-            for k in range(at, at + n):
-                out[k] = out[k - d]
+            if d >= n:
+                out[at : at + n] = out[at - d : at - d + n]
+            else:  # the last d pixels again and again
+                out[at : at + n] = (out[at - d : at] * (-(-n // d)))[:n]
             at += n
         else:
             remember(at)
@@ -280,6 +291,17 @@ def _predicted(mode: int, left: int, top: int, corner: int, right: int) -> int:
 
 
 def _undo_predictor(pixels: np.ndarray, width: int, block: int, modes: list[list[int]]) -> np.ndarray:
+    used = {m for row in modes for m in row}
+    if used in ({1}, {2}):  # sums along rows or columns
+        c = pixels.astype("<u4").view(np.uint8).reshape(-1, width, 4).copy()
+        c[0, 0, 3:] += np.uint8(255)  # opaque black before the first pixel
+        if used == {1}:
+            c[:, 0] = np.cumsum(c[:, 0], 0, np.uint8)
+            c = np.cumsum(c, 1, np.uint8)
+        else:
+            c[0] = np.cumsum(c[0], 0, np.uint8)
+            c = np.cumsum(c, 0, np.uint8)
+        return np.ascontiguousarray(c).view("<u4").ravel().astype(np.uint32)
     p = pixels.tolist()
     for i in range(len(p)):
         y, x = divmod(i, width)
@@ -496,32 +518,215 @@ def _pack(codes: np.ndarray, sizes: np.ndarray, first: int, n_first: int) -> byt
     return out.astype("<u8").tobytes()[: -(-total // 8)]
 
 
+def _lengths(count: np.ndarray) -> np.ndarray:
+    """Code lengths for what occurs; one symbol, the first if none does, has length 1."""
+    n = np.count_nonzero(count)
+    if n > 2:
+        return code_lengths(count)
+    out = (count > 0).astype(np.int64)
+    if not n:
+        out[0] = 1
+    return out
+
+
+def _start(width: int, rows: int, alpha: bool = False) -> Writer:
+    w = Writer()
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(rows - 1, 14)
+    w.put(int(alpha), 1)
+    w.put(0, 3)
+    return w
+
+
+def _put_single(w: Writer, *symbols: int) -> None:
+    """Codes of one symbol each, which take no bits in the image."""
+    for one in symbols:
+        put_code(w, [0] * one + [1])
+
+
+def _finish(w: Writer, codes: np.ndarray, sizes: np.ndarray) -> bytes:
+    if not sizes.any():
+        return w.value.to_bytes(-(-w.n // 8), "little")
+    return _pack(codes.astype(np.uint64), sizes.astype(np.uint64), w.value, w.n)
+
+
+def _green(w: Writer, values: np.ndarray, alpha: int) -> bytes:
+    """The image's last part: literals whose red and blue are 0 and whose alpha is the same throughout."""
+    w.put(0, 1 + 1 + 1)  # no more transforms, no colour cache, one group
+    lengths = _lengths(np.bincount(values, minlength=256))
+    put_code(w, [*lengths.tolist(), *[0] * 24])
+    _put_single(w, 0, 0, alpha, 0)
+    if np.count_nonzero(lengths) == 1:
+        lengths = np.zeros(256, np.int64)
+    return _finish(w, np.array(stream_codes(lengths.tolist()), np.uint64)[values], lengths[values])
+
+
+def _plain(part: np.ndarray) -> bytes:
+    return _green(_start(WIDTH, len(part) // WIDTH), part, 255)
+
+
+def _differences(part: np.ndarray, mode: int) -> np.ndarray:
+    """Samples less the one to the left (1) or above (2); the first row has only left ones, the first column only those above."""
+    g = part.reshape(-1, WIDTH)
+    out = g.copy()
+    out[0, 1:] -= g[0, :-1]
+    if mode == 1:
+        out[1:, 0] -= g[:-1, 0]
+        out[1:, 1:] -= g[1:, :-1]
+    else:
+        out[1:] -= g[:-1]
+    return out.ravel()
+
+
+def _predicted_image(part: np.ndarray, mode: int) -> bytes:
+    w = _start(WIDTH, len(part) // WIDTH)
+    w.put(1, 1)
+    w.put(0, 2)  # the predictor transform, with blocks of 512
+    w.put(7, 3)
+    w.put(0, 1)  # its image has no colour cache
+    _put_single(w, mode, 0, 0, 0, 0)
+    return _green(w, _differences(part, mode), 0)
+
+
+def _palette_image(part: np.ndarray, values: np.ndarray) -> bytes:
+    n = len(values)
+    w = _start(WIDTH, len(part) // WIDTH)
+    w.put(1, 1)
+    w.put(3, 2)
+    w.put(n - 1, 8)
+    w.put(0, 1)  # the palette's image: colours less the one before, all opaque
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    lengths = _lengths(np.bincount(steps, minlength=256))
+    put_code(w, [*lengths.tolist(), *[0] * 24])
+    _put_single(w, 0, 0)
+    put_code(w, [int(n > 1), *[0] * 254, 1])
+    _put_single(w, 0)
+    green = stream_codes(lengths.tolist())
+    several = np.count_nonzero(lengths) > 1
+    for k, s in enumerate(steps.tolist()):
+        if several:
+            w.put(green[s], int(lengths[s]))
+        if n > 1:
+            w.put(int(k == 0), 1)  # alpha 255 first, then 0
+    bits = 1 if n <= 2 else 2 if n <= 4 else 4
+    many = 8 // bits
+    index = np.searchsorted(values, part).reshape(-1, many).astype(np.uint8)
+    packed = np.bitwise_or.reduce(index << (np.arange(many, dtype=np.uint8) * np.uint8(bits)), axis=1)
+    return _green(w, packed, 255)
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their number of lengths or distances."""
+    v = value.astype(np.int64) - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    small = v < 4
+    symbol = np.where(small, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1))
+    extra = np.where(small, 0, high - 1)
+    return symbol, v & ((1 << extra) - 1), extra
+
+
+def _earlier(pixels: np.ndarray, n: int) -> np.ndarray:
+    """For each pixel the last earlier place at which the same n pixels seem to begin, or -1."""
+    key = pixels[: len(pixels) - n + 1].astype(np.uint64)
+    for k in range(1, n):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + pixels[k : len(pixels) - n + 1 + k]
+    order = np.argsort(key, kind="stable")
+    out = np.full(len(pixels), -1, np.int64)
+    same = key[order[1:]] == key[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _referring_image(part: np.ndarray, before: np.ndarray, pixels: np.ndarray) -> bytes:
+    """Back-references of 4 pixels or more, from the last place where they occurred, and a colour cache for the rest."""
+    at, stop = 0, len(pixels)
+    starts, lengths, sources = [], [], []
+    able = np.flatnonzero(before >= 0)
+    while (k := int(np.searchsorted(able, at))) < len(able):
+        at = int(able[k])
+        source, most = int(before[at]), min(4096, stop - at)
+        differ = pixels[at : at + most] != pixels[source : source + most]
+        n = int(differ.argmax()) if differ.any() else most
+        if n >= 4:
+            starts.append(at), lengths.append(n), sources.append(source)
+        at += max(n, 1)
+    starts, lengths, sources = (np.array(x, np.int64) for x in (starts, lengths, sources))
+    copied = np.zeros(stop + 1, np.int64)
+    np.add.at(copied, starts, 1)
+    np.add.at(copied, starts + lengths, -1)
+    alone = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
+    slot = (pixels * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)
+    order = np.argsort(slot, kind="stable")
+    last = np.full(stop, -1, np.int64)
+    same = slot[order[1:]] == slot[order[:-1]]
+    last[order[1:][same]] = order[:-1][same]
+    hit = (last >= 0) & (pixels[last] == pixels)
+    hit_at, new_at = alone[hit[alone]], alone[~hit[alone]]
+    channels = pixels[new_at].astype("<u4").view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    length_symbol, length_extra, length_bits = _prefix(lengths)
+    far_symbol, far_extra, far_bits = _prefix(starts - sources + 120)
+    size = 280 + (1 << CACHE_BITS)
+    green = np.bincount(np.concatenate([channels[:, 1].astype(np.int64), 280 + slot[hit_at].astype(np.int64), 256 + length_symbol]), minlength=size)
+    codes = [_lengths(c) for c in (green, *(np.bincount(channels[:, k], minlength=256) for k in (2, 0, 3)), np.bincount(far_symbol, minlength=40))]
+    w = _start(WIDTH // 4, stop * 4 // WIDTH, alpha=True)
+    w.put(0, 1)
+    w.put(1, 1)
+    w.put(CACHE_BITS, 4)
+    w.put(0, 1)
+    for c in codes:
+        put_code(w, c.tolist())
+    sizes = [c if np.count_nonzero(c) > 1 else np.zeros_like(c) for c in codes]
+    bits = [np.array(stream_codes(c.tolist()), np.uint64) for c in sizes]
+    # four fields for each token, in the order of their pixels: a literal's channels, a cache entry, or a length and a distance
+    rows = np.concatenate([new_at, hit_at, starts])
+    value, width = np.zeros((len(rows), 4), np.uint64), np.zeros((len(rows), 4), np.uint64)
+    a, b = len(new_at), len(new_at) + len(hit_at)
+    for field, (code, channel) in enumerate(((0, 1), (1, 2), (2, 0), (3, 3))):
+        value[:a, field], width[:a, field] = bits[code][channels[:, channel]], sizes[code][channels[:, channel]]
+    s = 280 + slot[hit_at].astype(np.int64)
+    value[a:b, 0], width[a:b, 0] = bits[0][s], sizes[0][s]
+    value[b:, 0], width[b:, 0] = bits[0][256 + length_symbol], sizes[0][256 + length_symbol]
+    value[b:, 1], width[b:, 1] = length_extra, length_bits
+    value[b:, 2], width[b:, 2] = bits[4][far_symbol], sizes[4][far_symbol]
+    value[b:, 3], width[b:, 3] = far_extra, far_bits
+    order = np.argsort(rows, kind="stable")
+    return _finish(w, value[order].ravel(), width[order].ravel())
+
+
+def _entropy(part: np.ndarray) -> float:
+    """Bits that a prefix code needs at least."""
+    n = np.bincount(part, minlength=256)
+    n = n[n > 0]
+    return float((n * np.log2(len(part) / n)).sum())
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """RIFF containers with the samples (a multiple of 64) in the green channel."""
+    """RIFF containers with the samples, a multiple of 64."""
     out = []
     for lo in range(0, len(samples), WIDTH * MOST_ROWS):
-        part = samples[lo : lo + WIDTH * MOST_ROWS]
-        w = Writer()
-        w.put(0x2F, 8)
-        w.put(WIDTH - 1, 14)
-        w.put(len(part) // WIDTH - 1, 14)
-        w.put(0, 1 + 3 + 1 + 1 + 1)  # alpha, version, transforms, colour cache, groups
-        count = np.bincount(part, minlength=256)
-        few = np.count_nonzero(count)
-        lengths = (count > 0).astype(np.int64) if few <= 2 else code_lengths(count)
-        put_code(w, [*lengths.tolist(), *[0] * 24])
-        for one in (0, 0, 255, 0):  # red, blue, alpha, distance
-            put_code(w, [0] * one + [1])
-        if few == 1:
-            raw = w.value.to_bytes(-(-w.n // 8), "little")
-        else:
-            codes = np.array(stream_codes(lengths.tolist()), np.uint64)
-            raw = _pack(codes[part], lengths.astype(np.uint64)[part], w.value, w.n)
+        part = np.ascontiguousarray(samples[lo : lo + WIDTH * MOST_ROWS])
+        bits = [_entropy(part), *(_entropy(_differences(part, mode)) for mode in (1, 2))]
+        mode = int(np.argmin(bits))
+        tried = [_plain(part) if not mode else _predicted_image(part, mode)]
+        values = np.flatnonzero(np.bincount(part, minlength=256))
+        if len(values) <= 16:
+            tried.append(_palette_image(part, values.astype(np.uint8)))
+        four = part.reshape(-1, 4).astype(np.uint32)
+        pixels = four[:, 0] << np.uint32(24) | four[:, 1] << np.uint32(16) | four[:, 2] << np.uint32(8) | four[:, 3]
+        before = _earlier(pixels, 4)
+        if np.count_nonzero(before >= 0) > REPEATED * len(pixels):
+            tried.append(_referring_image(part, before, pixels))
+        raw = min(tried, key=len)
         pad = b"\0" * (len(raw) & 1)
         out.append(b"RIFF" + struct.pack("<I", 12 + len(raw) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(raw)) + raw + pad)
     return b"".join(out)
 
 
 def decode_samples(media: bytes) -> np.ndarray:
-    """All images' green samples, one after the other."""
-    return np.concatenate([(decode_vp8l(x)[2] >> np.uint32(8)).astype(np.uint8) for x in images(media)])
+    """All images' samples, one after the other: the green channel, or of narrow images all four."""
+    out = []
+    for x in images(media):
+        width, _, pixels = decode_vp8l(x)
+        out.append((pixels >> np.uint32(8)).astype(np.uint8) if width == WIDTH else pixels.astype(">u4").view(np.uint8))
+    return np.concatenate(out)
