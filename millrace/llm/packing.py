@@ -39,9 +39,11 @@ class Packer:
         self.full: list[list] = []
 
     def add(self, doc_id: int | None, start: int, total: int, ids: bytes) -> None:
-        while len(ids) >= 4 * self.size:
-            self.full.append([(doc_id, start, total, ids[: 4 * self.size])])
-            start, ids = start + self.size, ids[4 * self.size :]
+        whole = len(ids) // (4 * self.size)
+        if whole:  # each id is copied once, however long the document is
+            view = memoryview(ids)
+            self.full += [[(doc_id, start + k * self.size, total, bytes(view[4 * k * self.size : 4 * (k + 1) * self.size]))] for k in range(whole)]
+            start, ids = start + whole * self.size, bytes(view[4 * whole * self.size :])
         n = len(ids) // 4
         if not n:
             return

@@ -142,6 +142,7 @@ def make_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             yield row()
 
     spark, name = docs.sparkSession, f"millrace_blocks_{uuid.uuid4().hex}"
+    common.register(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}")  # the table's folder
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = common.map_arrow(source, run, "block long, doc_ids array<long>, lengths array<long>, data binary")
     blocks.write.option("parquet.block.size", 16 << 20).option("compression", "zstd").bucketBy(common.width(docs), "block").saveAsTable(name)
