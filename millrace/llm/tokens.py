@@ -12,6 +12,7 @@ tokenizer file on every machine.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -22,7 +23,10 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share a machine's cores already
 
-WORDS, PIECES, CALL = 250_000, 50_000, 20_000
+#: Words and pieces that a worker knows, words that it keeps between tasks, words of one call, characters of texts that are looked up at once.
+WORDS, PIECES, KEPT, CALL, SLICE = 500_000, 50_000, 120_000, 20_000, 4_000_000
+#: What may end a word of letters: a run of these is a piece of its own.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters whose class is beyond doubt: ASCII without separators 1C-1F, Latin, Greek, Cyrillic, general punctuation.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7E¡-¬®-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞€]")
 _ENCODERS: dict[str, Encoder] = {}
@@ -34,6 +38,48 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run, one run after the other."""
+    after = np.cumsum(sizes, dtype=np.int32)
+    out = np.repeat(starts - (after - sizes), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
+class Words:
+    """Known words with their ids, which lie one after the other in an array; place 0 is a word without ids."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.start, self.size, self.met = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.used, self.n = 0, 1
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n + len(words) > len(self.start):
+            self.start, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.met))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        at = slice(self.n, self.n + len(words))
+        self.start[at], self.size[at], self.met[at] = np.cumsum(sizes) - sizes + self.used, sizes, 0
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.place.update(zip(words, range(at.start, at.stop)))
+        self.n, self.used = at.stop, self.used + len(ids)
+
+    def places(self, words: list[str], unknown: int) -> np.ndarray:
+        return np.fromiter(map(self.place.get, words, itertools.repeat(unknown)), np.int32, len(words))
+
+    def keep(self, most: int) -> Words:
+        """The words that most batches had, and that more than one had; at most ``most``."""
+        enough = 2
+        while np.count_nonzero(self.met[: self.n] >= enough) > most:
+            enough += 1
+        words = [w for w, i in self.place.items() if self.met[i] >= enough]
+        out, at = Words(), self.places(words, 0)
+        out.add(words, self.ids[_ragged(self.start[at], self.size[at])], self.size[at])
+        out.met[1 : out.n] = self.met[at]
+        return out
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -42,26 +88,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        #: a word -> its ids with the blank before it, or with the line feed that it begins with
-        self.words: dict[str, bytes] = {}
+        #: words with the blank before them, or with the line feed that they begin with
+        self.words = Words()
         self.parts: dict[str, bytes] = {}
-        self.last: list[str] = []
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros((2, max(vocabulary.values()) + 1), bool)  # tokens that begin with a blank, with a line feed
         for token, i in vocabulary.items():
             self.opens[:, i] = token[0] == "\u0120", token[0] == "\u010a"
 
-    def _learn(self, words: list[str], lines: bool) -> None:
+    def _whole(self, words: list[str], lines: bool) -> None:
         """Ids of words after blanks or line feeds: one call for many, cut where a token begins with that character."""
         for lo in range(0, len(words), CALL):
             some = words[lo : lo + CALL]
             text = "".join(some) if lines else " " + " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [*(4 * np.flatnonzero(self.opens[int(lines)][ids])).tolist(), 4 * len(ids)]
-            if len(cuts) != len(some) + 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.r_[np.flatnonzero(self.opens[int(lines)][ids]), len(ids)]
+            if len(cuts) != len(some) + 1 or cuts[0]:
                 raise ValueError("the tokenizer does not begin a token at each blank and line feed")
-            raw = ids.tobytes()
-            self.words.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            self.words.add(some, ids, np.diff(cuts))
+
+    def _learn(self, new: list[str]) -> None:
+        """Words that the library has not been asked for; of letters and a tail of other characters, which are two pieces, each is asked for once."""
+        words = self.words
+        whole, heads, tails, joined = {}, [], [], []
+        for w in new:
+            if not (w.isprintable() if w[:1] != "\n" else len(w) > 1 and w[1:].isprintable()) or not w:
+                continue  # nothing for white space alone or inside
+            head = w.rstrip(_TAIL)
+            if len(head) == len(w) or not (head if w[0] != "\n" else head[1:]).isalpha():
+                whole[w] = None
+                continue
+            joined.append(w), heads.append(head), tails.append(w[len(head) :])
+            if head not in words.place:
+                whole[head] = None
+        self._whole([w for w in whole if w[0] != "\n"], False)
+        self._whole([w for w in whole if w[0] == "\n"], True)
+        if joined:
+            ends = [self._piece(x) for x in tails]
+            sizes = np.fromiter(map(len, ends), np.int32, len(ends)) // 4
+            at = words.places(heads, 0)
+            n = np.stack([words.size[at], sizes], 1)
+            begin = np.stack([words.start[at], np.cumsum(sizes, dtype=np.int32) - sizes + np.int32(words.used)], 1)
+            pool = np.concatenate([words.ids[: words.used], np.frombuffer(b"".join(ends), "<u4")])
+            words.add(joined, pool[_ragged(begin.ravel(), n.ravel())], n.sum(1))
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.parts.get(piece)
+        if found is None:
+            self.parts[piece] = found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
 
     def _pieces(self, text: str) -> bytes:
         pieces, parts = self.pieces(text), self.parts
@@ -76,7 +151,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-        tail, out, plain = np.uint32(end).astype("<u4").tobytes(), [], []
+        tail, out, plain, size = np.uint32(end).astype("<u4").tobytes(), [], [], 0
         for i, t in enumerate(texts):
             if not t:
                 out.append(tail)
@@ -85,47 +160,45 @@ class Encoder:
             else:
                 out.append(None)
                 plain.append(i)
-        if plain:
-            for i, ids in zip(plain, self._by_words([texts[i] for i in plain], end)):
-                out[i] = self._pieces(texts[i]) + tail if ids is None else ids
+                size += len(t)
+            if plain and (size >= SLICE or i == len(texts) - 1):
+                for k, ids in zip(plain, self._by_words([texts[k] for k in plain], end)):
+                    out[k] = self._pieces(texts[k]) + tail if ids is None else ids
+                plain, size = [], 0
         return out
 
     def rest(self) -> None:
-        """Forget the words between tasks, but for those that the last batch had: other work on this machine needs the memory."""
-        self.words = {w: x for w in self.last if (x := self.words.get(w)) is not None}
+        """Forget between tasks all but the words that batches share: other work on this machine needs the memory."""
+        self.words = self.words.keep(KEPT)
         self.parts.clear()
-        self.last = []
 
     def _by_words(self, texts: list[str], end: int) -> list[bytes | None]:
         """Ids of texts from their distinct words; None where white space stands in a row."""
         # a line feed before a text makes its first word like any other; its token gives way to the end id
         split = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        met, place, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
-        found = list(map(self.words.get, met))
-        new = [w for w, x in zip(met, found) if x is None]
+        met, place, ends = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        at = self.words.places(met, -1)
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            if len(self.words) > WORDS:  # what this batch needs again is what most batches need
-                self.words = {w: x for w, x in zip(met, found) if x is not None}
-            self._learn([w for w in new if w and w.isprintable()], False)
-            self._learn([w for w in new if len(w) > 1 and w[0] == "\n" and w[1:].isprintable()], True)
-            for i, x in enumerate(found):
-                if x is None:  # nothing for white space alone or inside
-                    found[i] = self.words.get(met[i], b"")
-        self.last = met
-        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        ids, starts = np.frombuffer(b"".join(found), "<u4"), (np.cumsum(size) - size).astype(np.int32)
-        n = size[place]
+            if len(self.words.place) > WORDS:
+                self.words = self.words.keep(WORDS // 2)
+                at = self.words.places(met, -1)
+                new = np.flatnonzero(at < 0).tolist()
+            some = [met[i] for i in new]
+            self._learn(some)
+            at[new] = self.words.places(some, 0)
+        words = self.words
+        words.met[at] += 1
+        n = words.size[at][place]
+        flat = words.ids[_ragged(words.start[at][place], n)]  # a slice has far fewer than 2**31 ids
         after = np.cumsum(n)
-        at = np.repeat(starts[place] - (after - n).astype(np.int32), n)  # a batch has far fewer than 2**31 ids
-        at += np.arange(len(at), dtype=np.int32)
-        flat = ids[at]
         stop = after[ends[1:] - 1]
         begin = np.r_[0, stop[:-1]]
         bad = np.logical_or.reduceat(n == 0, ends[:-1])
         flat[:-1] = flat[1:].copy()
         flat[stop - 1] = end
-        raw = flat.tobytes()
+        raw = flat.astype("<u4", copy=False).tobytes()
         return [None if x else raw[4 * a : 4 * b] for a, b, x in zip(begin.tolist(), stop.tolist(), bad.tolist())]
 
 
