@@ -96,8 +96,9 @@ class Encoder:
         for token, i in vocabulary.items():
             self.opens[:, i] = token[0] == "\u0120", token[0] == "\u010a"
 
-    def _whole(self, words: list[str], lines: bool) -> None:
-        """Ids of words after blanks or line feeds: one call for many, cut where a token begins with that character."""
+    def _whole(self, words: list[str], lines: bool) -> int:
+        """Ids of words after blanks or line feeds: one call for many, cut where a token begins with that character.  The first word's place."""
+        first = self.words.n
         for lo in range(0, len(words), CALL):
             some = words[lo : lo + CALL]
             text = "".join(some) if lines else " " + " ".join(some)
@@ -106,31 +107,45 @@ class Encoder:
             if len(cuts) != len(some) + 1 or cuts[0]:
                 raise ValueError("the tokenizer does not begin a token at each blank and line feed")
             self.words.add(some, ids, np.diff(cuts))
-
-    def _learn(self, new: list[str]) -> None:
-        """Words that the library has not been asked for; of letters and a tail of other characters, which are two pieces, each is asked for once."""
-        words = self.words
-        whole, heads, tails, joined = {}, [], [], []
-        for w in new:
-            if not (w.isprintable() if w[:1] != "\n" else len(w) > 1 and w[1:].isprintable()) or not w:
-                continue  # nothing for white space alone or inside
-            head = w.rstrip(_TAIL)
-            if len(head) == len(w) or not (head if w[0] != "\n" else head[1:]).isalpha():
-                whole[w] = None
-                continue
-            joined.append(w), heads.append(head), tails.append(w[len(head) :])
-            if head not in words.place:
-                whole[head] = None
-        self._whole([w for w in whole if w[0] != "\n"], False)
-        self._whole([w for w in whole if w[0] == "\n"], True)
-        if joined:
-            ends = [self._piece(x) for x in tails]
-            sizes = np.fromiter(map(len, ends), np.int32, len(ends)) // 4
-            at = words.places(heads, 0)
-            n = np.stack([words.size[at], sizes], 1)
-            begin = np.stack([words.start[at], np.cumsum(sizes, dtype=np.int32) - sizes + np.int32(words.used)], 1)
-            pool = np.concatenate([words.ids[: words.used], np.frombuffer(b"".join(ends), "<u4")])
+        return first
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Places of words that were not known: none for white space alone or inside.
+
+        Letters and a tail of other characters are two pieces, and the library is asked for each of them once.
+        """
+        words, names = self.words, new.to_numpy(zero_copy_only=False).tolist()
+        mask = lambda x: x.to_numpy(zero_copy_only=False)
+        line = mask(pc.starts_with(new, "\n"))
+        bare = pc.utf8_ltrim(new, characters="\n")
+        size = pc.utf8_length(bare).to_numpy()
+        head = pc.utf8_rtrim(bare, characters=_TAIL)
+        head_size = pc.utf8_length(head).to_numpy()
+        sound = mask(pc.utf8_is_printable(bare)) & (size > 0)
+        two = sound & ~line & (head_size < size) & mask(pc.utf8_is_alpha(head))
+        out = np.zeros(len(names), np.int32)
+        for lines in (False, True):
+            at = np.flatnonzero(sound & ~two & (line == lines))
+            out[at] = self._whole([names[i] for i in at.tolist()], lines) + np.arange(len(at))
+        at = np.flatnonzero(two)
+        if len(at):
+            heads = head.filter(pa.array(two)).dictionary_encode()
+            some = heads.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known = words.places(some, -1)
+            ask = np.flatnonzero(known < 0)
+            known[ask] = self._whole([some[i] for i in ask.tolist()], False) + np.arange(len(ask))
+            first = known[heads.indices.to_numpy()]
+            joined = [names[i] for i in at.tolist()]
+            tails = pa.array([w[k:] for w, k in zip(joined, head_size[at].tolist())], pa.string()).dictionary_encode()
+            pieces = [self._piece(x) for x in tails.dictionary.to_pylist()]
+            lengths = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+            second = tails.indices.to_numpy()
+            n = np.stack([words.size[first], lengths[second]], 1)
+            begin = np.stack([words.start[first], (np.cumsum(lengths, dtype=np.int32) - lengths + np.int32(words.used))[second]], 1)
+            pool = np.concatenate([words.ids[: words.used], np.frombuffer(b"".join(pieces), "<u4")])
+            out[at] = words.n + np.arange(len(at))
             words.add(joined, pool[_ragged(begin.ravel(), n.ravel())], n.sum(1))
+        return out
 
     def _piece(self, piece: str) -> bytes:
         found = self.parts.get(piece)
@@ -179,15 +194,12 @@ class Encoder:
         coded = split.values.dictionary_encode()
         met, place, ends = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
         at = self.words.places(met, -1)
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
+        if at.min(initial=0) < 0:
             if len(self.words.place) > WORDS:
                 self.words = self.words.keep(WORDS // 2)
                 at = self.words.places(met, -1)
-                new = np.flatnonzero(at < 0).tolist()
-            some = [met[i] for i in new]
-            self._learn(some)
-            at[new] = self.words.places(some, 0)
+            new = at < 0
+            at[new] = self._learn(coded.dictionary.filter(pa.array(new)))
         words = self.words
         words.met[at] += 1
         n = words.size[at][place]
