@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.sources.shared import Scratch, fresh_path, materialise, register, remove, shared_dir  # noqa: F401
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -51,7 +51,7 @@ from millrace.operators.components import connected_components
 from . import common
 from .shingles import Words, shingle_sets
 
-PERCENT, HEAVY, HEAVY_MIN, BUFFER, PART = 80, 1 << 16, 8, 3_000_000, 1000
+PERCENT, HEAVY, HEAVY_MIN, BUFFER, PART = 80, 1 << 16, 8, 2_000_000, 1000
 #: Bits of the filter that keeps sets from travelling when no pair needs them; a false positive only costs bytes.
 FILTER_BITS = 1 << 24
 ROUNDS = 1
@@ -216,7 +216,9 @@ def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[Da
     cut = scratch.cut
     sig = cut(_signatures(docs, heavy_shingles(docs), percent))
     sound = sig.filter(F.col("digest").isNotNull())
-    ids = cut(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash")).withColumn("node", F.monotonically_increasing_id()))
+    # nodes are numbered in the order of their smallest doc_ids: the first of a column, which all its rows meet, is the oldest
+    ids = cut(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash")))
+    ids = cut(ids.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep", "digest").sortWithinPartitions("rep", "digest").withColumn("node", F.monotonically_increasing_id()))
     kept = sound.groupBy("digest").agg(F.first(F.struct("n", "prefix", "parts")).alias("k")).join(ids.select("digest", "node"), "digest")
     entries = kept.select("node", "k.n", F.explode(F.arrays_zip("k.prefix", "k.parts")).alias("e")).select("node", "n", F.col("e.prefix").alias("h"), (F.col("e.parts") > 1).alias("hot"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("e.parts")).cast("int").alias("salt"))
     # columns with two rows or more whose sizes are near enough; of a salted column every row may have such a one in another part
@@ -244,10 +246,12 @@ def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[Da
     # a size class spans a factor of less than 100 / percent, so its rows are near enough
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 0.999999)) if percent < 100 else F.col("n")
     first = blocks.withColumn("class", size_class)
-    lead_of = first.groupBy("h", "class", "salt").agg(F.min("node").alias("ny"), F.first("weight").alias("weight"))
-    leads = lead_of.join(lead_of.groupBy("h", "class").agg(F.min("ny").alias("lead")).withColumnRenamed("h", "h2").withColumnRenamed("class", "class2"), (F.col("h") == F.col("h2")) & (F.col("class") == F.col("class2"))).select(F.col("ny").alias("nx"), F.col("lead").alias("ny"), "weight").filter("nx <> ny")  # the parts' first rows meet the column's
-    star = first.join(lead_of.drop("weight"), ["h", "class", "salt"]).select(F.col("node").alias("nx"), "ny", "weight")
-    links = cut(linked(star.unionByName(leads).unionByName(blocks.filter("before is not null").select(F.col("node").alias("nx"), F.col("before").alias("ny"), "weight"))))
+    # every row meets the first of its column and size class, which is told to each part of the column
+    part = first.groupBy("h", "class", "salt").agg(F.min("node").alias("low"))
+    lead = part.groupBy(F.col("h").alias("h2"), F.col("class").alias("class2")).agg(F.min("low").alias("ny"))
+    lead_of = part.join(lead, (F.col("h") == F.col("h2")) & (F.col("class") == F.col("class2"))).select("h", "class", "salt", "ny")
+    star = first.join(lead_of, ["h", "class", "salt"]).select(F.col("node").alias("nx"), "ny", "weight")
+    links = cut(linked(star.unionByName(blocks.filter("before is not null").select(F.col("node").alias("nx"), F.col("before").alias("ny"), "weight"))))
     for _ in range(ROUNDS):
         named = _named(blocks, connected_components(links, cut, "x", "y"))
         both = cut(named.groupBy("h").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).filter("lo.component <> hi.component"))  # a table, so that a large column's rows are split in the join

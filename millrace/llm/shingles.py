@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE, K = 400_000, 5
+CACHE, K = 250_000, 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

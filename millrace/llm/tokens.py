@@ -24,7 +24,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share a machine's cores already
 
 #: Words and pieces that a worker knows, words that it keeps between tasks, words of one call, characters of texts that are looked up at once.
-WORDS, PIECES, KEPT, CALL, SLICE = 500_000, 50_000, 120_000, 20_000, 4_000_000
+WORDS, PIECES, KEPT, CALL, SLICE = 300_000, 50_000, 120_000, 20_000, 3_000_000
 #: What may end a word of letters: a run of these is a piece of its own.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters whose class is beyond doubt: ASCII without separators 1C-1F, Latin, Greek, Cyrillic, general punctuation.
@@ -68,15 +68,20 @@ class Words:
     def places(self, words: list[str], unknown: int) -> np.ndarray:
         return np.fromiter(map(self.place.get, words, itertools.repeat(unknown)), np.int32, len(words))
 
-    def keep(self, most: int) -> Words:
-        """The words that most batches had, and that more than one had; at most ``most``."""
+    def packed(self, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The words that most batches had, and that more than one had, with their ids, sizes and counts; at most ``most``, in a few flat arrays."""
         enough = 2
         while np.count_nonzero(self.met[: self.n] >= enough) > most:
             enough += 1
         words = [w for w, i in self.place.items() if self.met[i] >= enough]
-        out, at = Words(), self.places(words, 0)
-        out.add(words, self.ids[_ragged(self.start[at], self.size[at])], self.size[at])
-        out.met[1 : out.n] = self.met[at]
+        at = self.places(words, 0)
+        return pa.array(words, pa.string()), self.ids[_ragged(self.start[at], self.size[at])], self.size[at], self.met[at]
+
+    @classmethod
+    def unpacked(cls, words: pa.Array, ids: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> Words:
+        out = cls()
+        out.add(words.to_numpy(zero_copy_only=False).tolist(), ids, sizes)
+        out.met[1 : out.n] = met
         return out
 
 
@@ -89,7 +94,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         #: words with the blank before them, or with the line feed that they begin with
-        self.words = Words()
+        self.words: Words | None = Words()
+        self.idle: tuple | None = None  # the words that wait for the next task
         self.parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros((2, max(vocabulary.values()) + 1), bool)  # tokens that begin with a blank, with a line feed
@@ -183,8 +189,9 @@ class Encoder:
         return out
 
     def rest(self) -> None:
-        """Forget between tasks all but the words that batches share: other work on this machine needs the memory."""
-        self.words = self.words.keep(KEPT)
+        """Forget between tasks all but the words that batches share, and pack those: other work on this machine needs the memory."""
+        if self.words is not None:
+            self.idle, self.words = self.words.packed(KEPT), None
         self.parts.clear()
 
     def _by_words(self, texts: list[str], end: int) -> list[bytes | None]:
@@ -193,10 +200,13 @@ class Encoder:
         split = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         coded = split.values.dictionary_encode()
         met, place, ends = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        if self.words is None:
+            self.words, self.idle = Words.unpacked(*self.idle), None
         at = self.words.places(met, -1)
         if at.min(initial=0) < 0:
             if len(self.words.place) > WORDS:
-                self.words = self.words.keep(WORDS // 2)
+                kept, self.words = self.words.packed(WORDS // 2), None
+                self.words = Words.unpacked(*kept)
                 at = self.words.places(met, -1)
             new = at < 0
             at[new] = self._learn(coded.dictionary.filter(pa.array(new)))
