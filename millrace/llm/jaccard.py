@@ -32,9 +32,8 @@ texts have an empty set and link with nothing: their component_id is their
 doc_id.  Repeated rows fall together.  An empty table gives no rows.
 
 Columns of frequent shingles are salted into parts of about ``PART`` rows, so no
-task holds such a column whole.  Sets travel with 48 bits of each shingle's
-hash: an overlap of sets of n and m shingles is too large by one with a
-probability of n m / 2**48.
+task holds such a column whole.  Sets travel with all 64 bits of their
+shingles' hashes.
 """
 
 from __future__ import annotations
@@ -132,7 +131,7 @@ def _marks(ids: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, set (48 bits a shingle) of nodes, which have node, digest and rep (a doc_id that has the set, or null)."""
+    """node, set (64 bits a shingle) of nodes, which have node, digest and rep (a doc_id that has the set, or null)."""
 
     def mark(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -155,7 +154,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             x = _marks(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
             keep = np.flatnonzero(bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1)
             sets = [s for s in shingle_sets(batch.column(1).take(pa.array(keep)).to_pylist(), cache) if len(s)]
-            raw = [np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            raw = [s.astype("<u8", copy=False).tobytes() for s in sets]
             yield pa.record_batch([pa.array(map(_digest, sets), pa.binary()), pa.array(raw, pa.binary())], ["digest", "set"])
 
     found = common.map_arrow(docs.select("doc_id", "text"), run, "digest binary, set binary")
@@ -163,12 +162,6 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(F.first("set").alias("set")).join(nodes.select("node", "digest"), "digest").select("node", "set")
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _links(docs: DataFrame, ids: DataFrame, pairs: DataFrame, percent: int, cut) -> DataFrame:
     """The pairs x, y whose exact overlap reaches the bound of their sizes; only their sets travel."""
 
@@ -178,8 +171,8 @@ def _links(docs: DataFrame, ids: DataFrame, pairs: DataFrame, percent: int, cut)
             last, left = None, None
             for a, b in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist()):
                 if a != last:
-                    last, left = a, _unpack(a)
-                right = _unpack(b)
+                    last, left = a, np.frombuffer(a, "<u8")
+                right = np.frombuffer(b, "<u8")
                 both = np.concatenate([left, right])
                 both.sort()
                 overlap = int((both[1:] == both[:-1]).sum())
