@@ -24,7 +24,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share a machine's cores already
 
 #: Words and pieces that a worker knows, words that it keeps between tasks, words of one call, characters of texts that are looked up at once.
-WORDS, PIECES, KEPT, CALL, SLICE = 300_000, 50_000, 120_000, 20_000, 3_000_000
+WORDS, PIECES, KEPT, CALL, SLICE = 500_000, 50_000, 120_000, 20_000, 3_000_000
 #: What may end a word of letters: a run of these is a piece of its own.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters whose class is beyond doubt: ASCII without separators 1C-1F, Latin, Greek, Cyrillic, general punctuation.
