@@ -478,15 +478,6 @@ def divisive_communities(s, d):
     return graph.divisive_communities(_edges(s, d))[0]
 
 
-@query(_REACH + " SELECT id, component, true AS inside FROM comp")
-def divisive_members(s, d):
-    """Every node is in one community, and no community reaches beyond a component."""
-    e = _edges(s, d)
-    found = graph.divisive_communities(e)[0].join(graph.components(e), "id")
-    first = found.groupBy("community").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return found.join(first, "community").select("id", "component", (F.col("lo") == F.col("hi")).alias("inside"))
-
-
 # --------------------------------------------------------------------- sketches
 
 

@@ -29,7 +29,8 @@ def test_report_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql(spark, name):
-    got = catalog.QUERIES[name](spark, SMALL).toPandas()
+    # the smallest table's graph is nearly complete, which the divisive search takes minutes for
+    got = catalog.QUERIES[name](spark, SMALL.replace("0.001", "0.01") if name == "divisive_communities" else SMALL).toPandas()
     assert len(got) and not got.isna().any().any()
 
 
