@@ -25,6 +25,13 @@ period of 16 is a difference cover with the one difference that occurs, 0.
 Equal surroundings inside a block are folded before they are sent, so a passage
 or copy that a third of the documents hold costs a row for each block.
 
+Hot anchors.  One in ``EVERY`` of the blocks' distinct 33-byte strings, taken by
+hash, names its anchor.  Anchors met ``portion / EVERY`` times or more, the
+``HOT`` most frequent of them, are hot: their suffixes go to a bucket for each
+33-byte string beside the anchor instead of one bucket, so they spread over
+tasks by the 17 bytes before or after it.  Equal windows hold equal strings, so
+this moves rows and changes no result.
+
 Null texts are empty.  Rows with equal doc_id do not remove from each other;
 a null doc_id counts as larger than all.  An empty table gives no rows.
 """
@@ -44,12 +51,14 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM, BLOCK, PORTION = 50, 16, 4 << 20, 200_000
+EVERY, HOT = 256, 1 << 16  # at most 512 KB of hot anchors are broadcast
 REACH = LENGTH - GRAM  # 34: how far before its anchor a window can begin
 SIDE = REACH // 2  # 17
 KEY = SIDE + GRAM  # 33
 AROUND = REACH + LENGTH  # 84 bytes hold all windows of an anchor
 COVER = (15, 31, REACH)
 _LAST = np.iinfo(np.int64).max
+_HOT_ROW = -1
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(0, 1 << 63, 256, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 _MULT = _rng.integers(0, 1 << 63, 8, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
@@ -109,6 +118,19 @@ class Runs:
         place[order] = np.cumsum(first) - 1
         return k[at], several, place
 
+    def sampled(self, keys: np.ndarray, place: np.ndarray, block: int, every: int) -> np.ndarray:
+        """The anchor of about one in ``every`` of the block's distinct keys."""
+        gram = np.zeros(len(keys), np.uint64)
+        gram[place] = self.gram[self.key_run]
+        return gram[_mix((keys ^ (np.uint64(block) << np.uint64(40))) * _MULT[7]) % np.uint64(every) == 0]
+
+    def buckets(self, runs: np.ndarray, left: bool) -> np.ndarray:
+        """For each run the bucket of the string on one side of its anchor, which it must have."""
+        side = self.left == left
+        key = np.zeros(len(self.q), np.uint64)
+        key[self.key_run[side]] = self.keys[side]
+        return _mix((self.gram[runs] + key[runs] * _MULT[4]) * _MULT[5] + np.uint64(left))
+
 
 def _planes(values: np.ndarray) -> bytes:
     """Sorted 40-bit values as 5 planes of bytes of their differences."""
@@ -149,22 +171,38 @@ def make_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return spark.table(name)
 
 
-def _shared_bits(blocks: DataFrame, ranges_log: int) -> DataFrame:
-    """block, bits: for each range of key values, in order, which of the block's keys two documents have."""
-    shift = np.uint64(40 - ranges_log)
+def _shared_bits(blocks: DataFrame, ranges_log: int, portion: int, every: int) -> DataFrame:
+    """block, range, bits: which of the block's keys in a range of values two documents have.
+
+    Rows with the block ``_HOT_ROW`` hold hot anchors and how often the sample met them.
+    """
+    shift, gram_shift = np.uint64(40 - ranges_log), np.uint64(64 - ranges_log)
+    names, kinds = ["range", "block", "n", "raw"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    least = max(2, portion // every)
 
     def send(batches):
         for batch in batches:
             for block, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("block", "lengths", "data"))):
-                keys, several, _ = Runs(np.frombuffer(data, np.uint8), np.array(lengths, np.int64)).distinct()
+                runs = Runs(np.frombuffer(data, np.uint8), np.array(lengths, np.int64))
+                keys, several, place = runs.distinct()
                 at, starts, counts = np.unique(keys >> shift, return_index=True, return_counts=True)
                 rows = [(int(r), block, int(c), _planes(keys[s : s + c]) + np.packbits(several[s : s + c]).tobytes()) for r, s, c in zip(at, starts, counts)]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["range", "block", "n", "raw"]) if rows else pa.record_batch([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["range", "block", "n", "raw"])
+                some = np.sort(runs.sampled(keys, place, block, every))
+                at, starts, counts = np.unique(some >> gram_shift, return_index=True, return_counts=True)
+                rows += [(int(r), _HOT_ROW, int(c), some[s : s + c].tobytes()) for r, s, c in zip(at, starts, counts)]
+                yield pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
 
     def match(batches):
-        held, now = [], None
+        held, now, anchors = [], None, []
 
         def close():
+            if anchors:
+                gram, met = np.unique(np.frombuffer(b"".join(anchors), np.uint64), return_counts=True)
+                often = met >= least
+                both = np.stack([gram[often], met[often].astype(np.uint64)], 1)
+                yield pa.record_batch([pa.array([_HOT_ROW], pa.int64()), pa.array([now], pa.int32()), pa.array([both.tobytes()], pa.binary())], ["block", "range", "bits"])
+            if not held:
+                return
             keys = [_values(raw, n) for _, n, raw in held]
             flags = [np.unpackbits(np.frombuffer(raw, np.uint8, offset=5 * n), count=n).astype(bool) for _, n, raw in held]
             k, f = np.concatenate(keys), np.concatenate(flags)
@@ -175,31 +213,45 @@ def _shared_bits(blocks: DataFrame, ranges_log: int) -> DataFrame:
             out[order[1:][same]] = True
             out[order[:-1][same]] = True
             ends = np.cumsum([0, *map(len, keys)])
-            return pa.record_batch([pa.array([b for b, _, _ in held], pa.int64()), pa.array([now] * len(held), pa.int32()), pa.array([np.packbits(out[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["block", "range", "bits"])
+            yield pa.record_batch([pa.array([b for b, _, _ in held], pa.int64()), pa.array([now] * len(held), pa.int32()), pa.array([np.packbits(out[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["block", "range", "bits"])
 
         for batch in batches:
             for r, block, n, raw in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "n", "raw"))):
                 if r != now:
-                    if held:
-                        yield close()
-                    held, now = [], r
-                held.append((block, n, raw))
-        if held:
-            yield close()
+                    yield from close()
+                    held, now, anchors = [], r, []
+                if block == _HOT_ROW:
+                    anchors.append(raw)
+                else:
+                    held.append((block, n, raw))
+        yield from close()
 
     sent = common.map_arrow(blocks.select("block", "lengths", "data"), send, "range int, block long, n long, raw binary")
     dealt = sent.repartition(1 << ranges_log, "range").sortWithinPartitions("range", "block")
-    bits = common.map_arrow(dealt, match, "block long, range int, bits binary")
-    return bits.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "bits"))).alias("bits"))
+    return common.map_arrow(dealt, match, "block long, range int, bits binary")
+
+
+def hot_anchors(bits: DataFrame) -> np.ndarray:
+    """Sorted hashes of the hot anchors, ``HOT`` at most, from the rows of ``_shared_bits``."""
+
+    def rows(batches):
+        for batch in batches:
+            both = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["gram", "met"])
+
+    found = common.map_arrow(bits.filter(F.col("block") == _HOT_ROW).select("bits"), rows, "gram long, met long")
+    return np.sort(np.array([r.gram for r in found.orderBy(F.desc("met"), "gram").limit(HOT).collect()], np.int64).view(np.uint64))
 
 
-def _candidates(blocks: DataFrame, bits: DataFrame, ranges_log: int) -> DataFrame:
+def _candidates(blocks: DataFrame, bits: DataFrame, ranges_log: int, hot: np.ndarray) -> DataFrame:
     """Surroundings that may match elsewhere (gram, doc, block, places, lo, hi, around), and spans already known to match inside the block."""
     shift = np.uint64(40 - ranges_log)
+    sent = blocks.sparkSession.sparkContext.broadcast(hot)
     names = ["gram", "doc", "block", "places", "lo", "hi", "around", "spans"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
+        hot = sent.value
         for batch in batches:
             for block, doc_ids, lengths, data, got in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_ids", "lengths", "data", "bits"))):
                 runs = Runs(np.frombuffer(data, np.uint8), np.array(lengths, np.int64))
@@ -216,6 +268,14 @@ def _candidates(blocks: DataFrame, bits: DataFrame, ranges_log: int) -> DataFram
                     continue
                 lo, hi, q = lo[use], hi[use], runs.q[use]
                 gram, doc = runs.gram[use], np.array([_LAST if d is None else d for d in doc_ids], np.int64)[runs.doc[use]]
+                split = np.isin(gram, hot)
+                if split.any():
+                    cut = q - SIDE  # windows up to this place hold the string left of the anchor, later ones the right one
+                    rest, first, second = np.flatnonzero(~split), np.flatnonzero(split & (lo <= cut)), np.flatnonzero(split & (hi > cut))
+                    gram = np.concatenate([gram[rest], runs.buckets(use[first], True), runs.buckets(use[second], False)])
+                    lo, hi = np.concatenate([lo[rest], lo[first], np.maximum(lo, cut + 1)[second]]), np.concatenate([hi[rest], np.minimum(hi, cut)[first], hi[second]])
+                    at = np.concatenate([rest, first, second])
+                    q, doc = q[at], doc[at]
                 at = q[:, None] + np.arange(-REACH, LENGTH)
                 inside = (at >= lo[:, None]) & (at < hi[:, None] + LENGTH)
                 around = np.where(inside, runs.data[np.where(inside, at, 0)], 0).astype(np.uint8)
@@ -239,7 +299,8 @@ def _candidates(blocks: DataFrame, bits: DataFrame, ranges_log: int) -> DataFram
                     pairs = np.stack([lo[spans], hi[spans] + LENGTH], 1).astype("<i4").tobytes()
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(([int(_mix(np.array([block], np.uint64)).view(np.int64)[0])], [None], [block], [None], [None], [None], [None], [pairs]), kinds)], names)
 
-    joined = blocks.join(bits.hint("shuffle_hash"), "block")
+    listed = bits.filter(F.col("block") != _HOT_ROW).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "bits"))).alias("bits"))
+    joined = blocks.join(listed.hint("shuffle_hash"), "block")
     return common.map_arrow(joined.select("block", "doc_ids", "lengths", "data", "bits"), run, "gram long, doc long, block long, places binary, lo int, hi int, around binary, spans binary")
 
 
@@ -337,12 +398,13 @@ def _sorted_buckets(candidates: DataFrame, parts: int, portion: int) -> DataFram
     return common.map_arrow(dealt, run, "block long, spans binary")
 
 
-def removed(docs: DataFrame, block: int = BLOCK, portion: int = PORTION) -> DataFrame:
+def removed(docs: DataFrame, block: int = BLOCK, portion: int = PORTION, every: int = EVERY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
     parts = common.width(docs)
     ranges_log = max(6, (parts - 1).bit_length())
     blocks = make_blocks(docs, block)
-    found = _candidates(blocks, _shared_bits(blocks, ranges_log), ranges_log)
+    bits = common.materialise(_shared_bits(blocks, ranges_log, portion, every), "bits")
+    found = _candidates(blocks, bits, ranges_log, hot_anchors(bits))
     spans = _sorted_buckets(found, parts, portion).groupBy("block").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches):

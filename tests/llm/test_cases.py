@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import common, decontaminate, jaccard, language, media, packing, quality, secrets, tokens, toxicity, webp
+from millrace.llm import common, decontaminate, jaccard, language, media, packing, quality, secrets, suffixes, tokens, toxicity, webp
 
 from ..conftest import SMALL
 from .conftest import sentence
-from .test_exact import SECRETS, brute_components, sets_of
+from .test_exact import SECRETS, brute_components, brute_removed, sets_of
 
 A, B = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 
@@ -31,6 +31,23 @@ def test_one_of_each_of_rows_without_ids(spark):
     assert len(kept & {(None, A), (None, A + " y")}) == 1
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_hot_anchors_are_split(spark, every):
+    rng = random.Random(5)
+    phrase, parts = " and all of this is said again and again ", [sentence(rng, 8) for _ in range(12)]
+    rows = [(i, phrase.join(rng.choice(parts) for _ in range(4))) for i in range(80)] + [(80, None), (81, phrase * 30), (None, phrase * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bits = suffixes._shared_bits(suffixes.make_blocks(docs, 1500), 6, 40, every).persist()
+    hot = suffixes.hot_anchors(bits)
+    assert len(hot) and list(hot) == sorted(set(hot.tolist()))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.removed(docs, 1500, 40, every).collect()]
+    last = 1 << 40
+    want = brute_removed([(last if i is None else i, t) for i, t in rows])
+    assert sorted((last if g[0] is None else g[0], *g[1:]) for g in got) == want
+    plain = [(r.doc_id, r.n_removed) for r in suffixes.removed(docs, 1500, 1 << 30, every).collect()]
+    assert sorted(map(str, plain)) == sorted(str(g[:1] + g[2:3]) for g in got)
+
+
 def test_salted_columns(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{k}" for k in range(120)]
