@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import noise_ordinal, wifi_ordinal
+from millrace.sources.shared import Scratch
+
+#: 64-bit words of a filter of items, and the bits that an item has in it (9 bits of its hash each).
+WORDS, PROBES = 8, 3
+#: Classes of items that are compared one after another, so one class's filters are on disk at a time.
+ROUNDS = 4
 
 
 def means(ratings: DataFrame, key: str) -> DataFrame:
@@ -29,14 +35,12 @@ def item_similarity(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
     users the ratio of means stands in; without deviation the similarity is 1;
     values above 1 are folded to their reciprocal.
     """
-    r, avg = one_rating(ratings), means(ratings, "item")
-    wanted = pairs.select("item", "neighbor").distinct().join(avg.select("item", F.col("avg").alias("ba")), "item").join(avg.select(F.col("item").alias("neighbor"), F.col("avg").alias("bn")), "neighbor")
-    x = r.join(avg, "item").select("user", "item", (F.col("stars") - F.col("avg")).alias("dx"))
-    y = x.select("user", F.col("item").alias("neighbor"), F.col("dx").alias("dy"))
-    common = wanted.select("item", "neighbor").join(x, "item").join(y, ["user", "neighbor"]).groupBy("item", "neighbor").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("dx") * F.col("dy")).alias("num"), F.sum(F.col("dx") * F.col("dx")).alias("d1"), F.sum(F.col("dy") * F.col("dy")).alias("d2"))
-    product = F.col("d1") * F.col("d2")
-    raw = F.when(F.col("c").isNull(), F.col("ba") / F.col("bn")).when(product < 1e-18, F.lit(1.0)).otherwise(F.col("num") / F.sqrt(F.greatest(product, F.lit(1e-300))))
-    return wanted.join(common, ["item", "neighbor"], "left").select("item", "neighbor", raw.alias("s")).select("item", "neighbor", F.when(F.col("s") > 1, 1 / F.col("s")).otherwise(F.col("s")).alias("sim"))
+    avg = means(ratings, "item")
+    wanted = pairs.select("item", "neighbor").distinct()
+    filters = wanted.select("item", F.hash("neighbor").alias("mark")).groupBy("item").agg(_filter("mark").alias("w"))
+    common = _together(one_rating(ratings).join(avg, "item"), filters)
+    both = wanted.join(avg.select("item", F.col("avg").alias("ba")), "item").join(avg.select(F.col("item").alias("neighbor"), F.col("avg").alias("bn")), "neighbor")
+    return both.join(common.withColumn("met", F.lit(True)), ["item", "neighbor"], "left").select("item", "neighbor", F.when(F.col("met"), F.col("sim")).otherwise(_folded(F.col("ba") / F.col("bn"))).alias("sim"))
 
 
 def neighbors(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -45,13 +49,96 @@ def neighbors(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.select("user", "item").distinct().join(r, "user").filter("neighbor <> item")
 
 
+def _filter(mark: str) -> F.Column:
+    """Aggregate: a Bloom filter of the items whose hashes are in the column."""
+    bit = lambda w: " | ".join(f"if((shiftright({mark}, {9 * p + 6}) & {WORDS - 1}) = {w}, shiftleft(1L, shiftright({mark}, {9 * p}) & 63), 0L)" for p in range(PROBES))
+    return F.expr(f"array({', '.join(f'bit_or({bit(w)})' for w in range(WORDS))})")
+
+
+def _either(words: str) -> F.Column:
+    """Aggregate: the filter of what any of the filters has."""
+    return F.array(*[F.bit_or(F.col(words)[w]) for w in range(WORDS)])
+
+
+def _may_have(words: str, mark: str) -> F.Column:
+    """False only if the filter does not have the item."""
+    return F.expr(" AND ".join(f"(shiftright({words}[shiftright({mark}, {9 * p + 6}) & {WORDS - 1}], shiftright({mark}, {9 * p}) & 63) & 1L) = 1L" for p in range(PROBES)))
+
+
+def _folded(raw: F.Column) -> F.Column:
+    return F.when(raw > 1, 1 / raw).otherwise(raw)
+
+
+def _together(one: DataFrame, filters: DataFrame) -> DataFrame:
+    """item, neighbor, sim of pairs that some user has rated both of: all that the item's filter has, and few others.
+
+    one: user, item, stars, avg (the item's mean).  The filter of an item goes
+    to its raters, and a pair is only made there if the filter has the neighbor.
+    """
+    dev = (F.col("stars") - F.col("avg")).alias
+    x = one.select("user", "item", dev("dx")).join(filters, "item").select("user", "item", "dx", "w")
+    y = one.select("user", F.col("item").alias("neighbor"), dev("dy"), F.hash("item").alias("mark"))
+    a, b = x.alias("a"), y.alias("b")
+    met = a.join(b, (F.col("a.user") == F.col("b.user")) & (F.col("a.item") != F.col("b.neighbor")) & _may_have("a.w", "b.mark"))
+    sums = met.groupBy("item", "neighbor").agg(F.sum(F.col("dx") * F.col("dy")).alias("num"), F.sum(F.col("dx") * F.col("dx")).alias("d1"), F.sum(F.col("dy") * F.col("dy")).alias("d2"))
+    product = F.col("d1") * F.col("d2")
+    return sums.select("item", "neighbor", _folded(F.when(product < 1e-18, F.lit(1.0)).otherwise(F.col("num") / F.sqrt(F.greatest(product, F.lit(1e-300))))).alias("sim"))
+
+
+class Rated:
+    """Tables of a training set and the pairs to be predicted, each computed once.
+
+    one: user, item, stars (the mean of repeats), avg (the item's mean).
+    users, items: means.  pairs: the distinct pairs.
+    """
+
+    def __init__(self, train: DataFrame, test: DataFrame) -> None:
+        self.scratch = Scratch(train.sparkSession, "ratings")
+        cut = self.scratch.cut
+        summed = cut(train.groupBy("user", "item").agg(F.avg("stars").alias("stars"), F.sum("stars").alias("s"), F.count("stars").alias("n")))
+        mean = F.try_divide(F.sum("s"), F.sum("n")).cast("double").alias("avg")
+        self.users, self.items = cut(summed.groupBy("user").agg(mean)), cut(summed.groupBy("item").agg(mean))
+        self.one = cut(summed.join(self.items, "item").select("user", "item", "stars", "avg"))
+        self.scratch.drop(self.users, self.items, self.one)
+        self.pairs = cut(test.select("user", "item").distinct())
+
+    def near(self) -> DataFrame:
+        """user, item, neighbor, stars, sim: what the user of a pair with known user and item has rated besides the item.
+
+        Similarities are those of ``item_similarity``.  Most pairs have no common
+        user and need only means, so they are made where the user's ratings are.
+        What has common users is few and comes to the user's pairs as a map.
+        """
+        cut = self.scratch.cut
+        seen = self.one.select("user", F.hash("item").alias("mark")).groupBy("user").agg(_filter("mark").alias("w"))
+        known = cut(self.pairs.join(self.items.withColumnRenamed("avg", "ba"), "item").join(seen, "user").select("user", "item", "ba", "w"))
+        part, found = F.pmod(F.xxhash64("item"), F.lit(ROUNDS)), []
+        for k in range(ROUNDS):
+            mine = known.filter(part == k)  # of the raters' side the join with the filters keeps the class
+            sims = _together(self.one, mine.groupBy("item").agg(_either("w").alias("w"))).withColumn("mark", F.hash("neighbor"))
+            a, b = mine.select("user", "item", "w").alias("a"), sims.alias("b")
+            wanted = a.join(b, (F.col("a.item") == F.col("b.item")) & _may_have("a.w", "b.mark"))
+            found.append(cut(wanted.select("a.user", "a.item", "neighbor", "sim")))
+        maps = reduce(DataFrame.unionByName, found).groupBy("user", "item").agg(F.map_from_entries(F.collect_list(F.struct("neighbor", "sim"))).alias("sims"))
+        base = known.select("user", "item", "ba").join(maps, ["user", "item"], "left")
+        rated = self.one.select("user", F.col("item").alias("neighbor"), "stars", F.col("avg").alias("bn"))
+        sim = F.when(F.map_contains_key("sims", F.col("neighbor")), F.try_element_at("sims", F.col("neighbor"))).otherwise(_folded(F.col("ba") / F.col("bn")))
+        return base.join(rated, "user").filter("neighbor <> item").select("user", "item", "neighbor", "stars", sim.alias("sim"))
+
+
+def pair_similarity(train: DataFrame, test: DataFrame) -> DataFrame:
+    """item, neighbor, sim of each test item and what a user who tests it has rated."""
+    return Rated(train, test).near().groupBy("item", "neighbor").agg(F.first("sim").alias("sim"))
+
+
 def top_neighbors(train: DataFrame, test: DataFrame, k: int = 30) -> DataFrame:
     """The k most similar rated neighbors with positive similarity; ties by neighbor."""
-    rated = means(train, "item").select("item")
-    near = neighbors(train, test).join(rated, "item", "left_semi")
-    sims = near.join(item_similarity(train, near), ["item", "neighbor"]).filter("sim > 0")
+    return _top(Rated(train, test), k)
+
+
+def _top(rated: Rated, k: int) -> DataFrame:
     order = Window.partitionBy("user", "item").orderBy(F.desc(F.round("sim", 9)), "neighbor")
-    return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rated.near().filter("sim > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def cf_predict(train: DataFrame, test: DataFrame, k: int = 30, cold: float = 2.5) -> DataFrame:
@@ -60,8 +147,10 @@ def cf_predict(train: DataFrame, test: DataFrame, k: int = 30, cold: float = 2.5
     Unknown item and user: ``cold``; unknown item: the user's mean; unknown user,
     or no similar neighbor: the item's mean; else the weighted mean.
     """
-    best = top_neighbors(train, test, k).groupBy("user", "item").agg((F.sum(F.col("sim") * F.col("stars")) / F.sum(F.abs("sim"))).alias("cf"))
-    out = test.select("user", "item").distinct().join(means(train, "user").withColumnRenamed("avg", "ua"), "user", "left").join(means(train, "item").withColumnRenamed("avg", "ia"), "item", "left").join(best, ["user", "item"], "left")
+    rated = Rated(train, test)
+    best = rated.scratch.cut(_top(rated, k).groupBy("user", "item").agg((F.sum(F.col("sim") * F.col("stars")) / F.sum(F.abs("sim"))).alias("cf")))
+    rated.scratch.drop(rated.users, rated.items, rated.pairs, best)
+    out = rated.pairs.join(rated.users.withColumnRenamed("avg", "ua"), "user", "left").join(rated.items.withColumnRenamed("avg", "ia"), "item", "left").join(best, ["user", "item"], "left")
     item_known, user_known = F.col("ia").isNotNull(), F.col("ua").isNotNull()
     branch = F.when(item_known & user_known, "both").when(item_known, "user cold").when(user_known, "item cold").otherwise("cold")
     return out.select("user", "item", F.coalesce(F.when(item_known & user_known, F.coalesce("cf", "ia")).otherwise(F.coalesce("ia", "ua")), F.lit(cold)).alias("prediction"), branch.alias("branch"))

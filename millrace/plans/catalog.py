@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar
 from millrace.operators import clustering, explore, graph, itemsets, recommend, similarity, sketch
-from millrace.sources import writers
+from millrace.sources import shared, writers
 from millrace.streaming import live
 
 QUERIES: dict = {}
@@ -264,8 +264,8 @@ def _ratings(s, d):
 
 
 def split(s, d):
-    """Every rating in train or in test: every twentieth order is tested, and all ratings of some users and items, so cold branches occur."""
-    r = _ratings(s, d)
+    """Every rating in train or in test: every twentieth order is tested, and all ratings of some users and items, so cold branches occur.  The join is made once."""
+    r = shared.materialise(_ratings(s, d), "rated")
     learnt = (F.col("k") % 20 != 0) & (F.col("item") % 25 != 0) & (F.col("user") % 50 != 0)
     return r.filter(learnt).select("user", "item", "stars"), r.filter(~learnt).groupBy("user", "item").agg(F.avg("stars").alias("stars"))
 

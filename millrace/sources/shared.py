@@ -68,6 +68,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).cut(df)
 
 
+#: Whether Spark removes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Writes in here remove their shuffle files at once, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Tables of one computation; ``drop`` removes those that its result does not read."""
 
@@ -76,7 +94,8 @@ class Scratch:
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = fresh_path(self.spark, self.name)
-        df.write.parquet(path)
+        with tidy(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

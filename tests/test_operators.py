@@ -442,3 +442,60 @@ def test_lsh_folds_copies(spark):
     found = {(r.id1, r.id2): round(r.similarity, 9) for r in similarity.lsh_similar(df).collect()}
     assert set(found.items()) <= set(exact.items()) and len(found) >= 0.95 * len(exact)
     assert sum(a.startswith("copy") and b.startswith("copy") for a, b in found) == 780
+
+
+def shuffled(spark, run):
+    """Rows that all stages of a run write to shuffles."""
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def dense_ratings(users=300, items=60, each=30):
+    rng = random.Random(11)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(users) for i in rng.sample(range(items), each)]
+    return [r for k, r in enumerate(rows) if k % 15], [r[:2] for k, r in enumerate(rows) if k % 15 == 0]
+
+
+def brute_force_cf(train, test, k=30):
+    by_user, by_item = {}, {}
+    for u, i, s in train:
+        by_user.setdefault(u, {})[i] = s
+        by_item.setdefault(i, {})[u] = s
+    mean = {i: sum(r.values()) / len(r) for i, r in by_item.items()}
+
+    def sim(i, n):
+        common = by_item[i].keys() & by_item[n].keys()
+        x, y = [by_item[i][u] - mean[i] for u in common], [by_item[n][u] - mean[n] for u in common]
+        product = sum(a * a for a in x) * sum(b * b for b in y)
+        s = mean[i] / mean[n] if not common else 1.0 if product < 1e-18 else sum(a * b for a, b in zip(x, y)) / math.sqrt(product)
+        return 1 / s if s > 1 else s
+
+    pairs = {(i, n): sim(i, n) for u, i in test for n in by_user[u] if n != i}
+    out = {}
+    for u, i in test:
+        best = sorted((-round(pairs[i, n], 9), n) for n in by_user[u] if n != i and pairs[i, n] > 0)[:k]
+        out[u, i] = sum(pairs[i, n] * by_user[u][n] for _, n in best) / sum(pairs[i, n] for _, n in best) if best else mean[i]
+    return pairs, out
+
+
+def test_predictions_move_ratings_not_raters_of_pairs(spark):
+    train, test = dense_ratings()
+    want = brute_force_cf(train, test)[1]
+    got = {}
+    a, b = frame(spark, train, "user long, item long, stars double"), frame(spark, test, "user long, item long")
+    n = shuffled(spark, lambda: got.update({(r.user, r.item): r.prediction for r in recommend.cf_predict(a, b).collect()}))
+    assert got == pytest.approx(want)
+    assert n < 20 * len(train), n
