@@ -303,7 +303,7 @@ def user_item_means(s, d):
 @query(_SPLIT + _PEARSON + " SELECT item, neighbor, round(sim + 1e-9, 5) AS sim FROM sim")
 def pearson_pairs(s, d):
     train, test = split(s, d)
-    return recommend.item_similarity(train, recommend.neighbors(train, test)).withColumn("sim", F.round(F.col("sim") + 1e-9, 5))  # no exact halves to round
+    return recommend.pair_similarity(train, test).withColumn("sim", F.round(F.col("sim") + 1e-9, 5))  # no exact halves to round
 
 
 @query(_SPLIT + _PEARSON + _TOPN + " SELECT user, item, neighbor, stars, CAST(rank AS INT) AS rank FROM top")

@@ -499,3 +499,13 @@ def test_predictions_move_ratings_not_raters_of_pairs(spark):
     n = shuffled(spark, lambda: got.update({(r.user, r.item): r.prediction for r in recommend.cf_predict(a, b).collect()}))
     assert got == pytest.approx(want)
     assert n < 20 * len(train), n
+
+
+def test_pair_similarities_move_ratings_not_raters_of_pairs(spark):
+    train, test = dense_ratings()
+    want = brute_force_cf(train, test)[0]
+    got = {}
+    a, b = frame(spark, train, "user long, item long, stars double"), frame(spark, test, "user long, item long")
+    n = shuffled(spark, lambda: got.update({(r["item"], r["neighbor"]): r["sim"] for r in recommend.pair_similarity(a, b).collect()}))
+    assert got == pytest.approx(want)
+    assert n < 20 * len(train), n
