@@ -93,7 +93,7 @@ class Rated:
     """
 
     def __init__(self, train: DataFrame, test: DataFrame) -> None:
-        self.scratch = Scratch(train.sparkSession, "ratings")
+        self.scratch = Scratch(train.sparkSession, "ratings", True)
         cut = self.scratch.cut
         summed = cut(train.groupBy("user", "item").agg(F.avg("stars").alias("stars"), F.sum("stars").alias("s"), F.count("stars").alias("n")))
         mean = F.try_divide(F.sum("s"), F.sum("n")).cast("double").alias("avg")

@@ -265,7 +265,7 @@ def _ratings(s, d):
 
 def split(s, d):
     """Every rating in train or in test: every twentieth order is tested, and all ratings of some users and items, so cold branches occur.  The join is made once."""
-    r = shared.materialise(_ratings(s, d), "rated")
+    r = shared.materialise_tidy(_ratings(s, d), "rated")
     learnt = (F.col("k") % 20 != 0) & (F.col("item") % 25 != 0) & (F.col("user") % 50 != 0)
     return r.filter(learnt).select("user", "item", "stars"), r.filter(~learnt).groupBy("user", "item").agg(F.avg("stars").alias("stars"))
 
@@ -374,8 +374,8 @@ def wifi_ordinal(s, d):
     return t(s, d, "part").select("p_partkey", scalar.wifi_ordinal(kind).alias("wifi"))
 
 
-def _model(s, d, extended=False):
-    train, test = split(s, d)
+def _model(s, d, extended=False, parts=None):
+    train, test = parts or split(s, d)
     users, items = _metadata(s, d)
     a, b = (recommend.assemble_features(x, users, items, noise_default=3 if extended else 2, extended=extended) for x in (train, test.select("user", "item")))
     return train, test, recommend.gbt_fit_predict(a, b)
@@ -408,8 +408,9 @@ SELECT model, n, constant, true AS comparable FROM k, (VALUES ('6 features'), ('
 def model_errors(s, d):
     """Errors of the models beside that of a constant: the ratings of these tables are random, so none can be much better, and none may be much worse."""
     train, test, six = _model(s, d)
-    _, _, eight = _model(s, d, True)
-    six, eight, cf = (graph.checkpointed(x) for x in (six, eight, recommend.cf_predict(train, test)))
+    six = shared.materialise_tidy(six, "six")
+    eight = shared.materialise_tidy(_model(s, d, True, (train, test))[2], "eight")
+    cf = shared.materialise_tidy(recommend.cf_predict(train, test), "cf")
     errors = recommend.model_errors({"6 features": six, "8 features": eight, "hybrid": recommend.hybrid(cf, six), "cf": cf}, train, test)
     return errors.select("model", "n", F.round("constant", 6).alias("constant"), (F.col("rmse") < 1.1 * F.col("constant")).alias("comparable"))
 

@@ -68,6 +68,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).cut(df)
 
 
+def materialise_tidy(df: DataFrame, name: str) -> DataFrame:
+    """The same, and the shuffle files of the computation go with it."""
+    return Scratch(df.sparkSession, name, True).cut(df)
+
+
 #: Whether Spark removes a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -87,14 +92,14 @@ def tidy(spark: SparkSession):
 
 
 class Scratch:
-    """Tables of one computation; ``drop`` removes those that its result does not read."""
+    """Tables of one computation; ``drop`` removes those that its result does not read.  ``clean``: shuffle files go when a table is made."""
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.name, self.paths = spark, name, {}
+    def __init__(self, spark: SparkSession, name: str, clean: bool = False) -> None:
+        self.spark, self.name, self.clean, self.paths = spark, name, clean, {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = fresh_path(self.spark, self.name)
-        with tidy(self.spark):
+        with tidy(self.spark) if self.clean else contextlib.nullcontext():
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
