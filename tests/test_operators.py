@@ -509,3 +509,13 @@ def test_pair_similarities_move_ratings_not_raters_of_pairs(spark):
     n = shuffled(spark, lambda: got.update({(r["item"], r["neighbor"]): r["sim"] for r in recommend.pair_similarity(a, b).collect()}))
     assert got == pytest.approx(want)
     assert n < 20 * len(train), n
+
+
+def test_rmse_moves_ratings_not_raters_of_pairs(spark):
+    train, test = dense_ratings()
+    want = brute_force_cf(train, test)[1]
+    got = []
+    a, b = frame(spark, train, "user long, item long, stars double"), frame(spark, [(*p, 3.0) for p in test], "user long, item long, stars double")
+    n = shuffled(spark, lambda: got.append(recommend.rmse(recommend.cf_predict(a, b), b).first()))
+    assert got[0].rmse == pytest.approx(math.sqrt(sum((p - 3) ** 2 for p in want.values()) / len(want))) and got[0].n == len(want)
+    assert n < 20 * len(train), n
