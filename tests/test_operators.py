@@ -519,3 +519,17 @@ def test_rmse_moves_ratings_not_raters_of_pairs(spark):
     n = shuffled(spark, lambda: got.append(recommend.rmse(recommend.cf_predict(a, b), b).first()))
     assert got[0].rmse == pytest.approx(math.sqrt(sum((p - 3) ** 2 for p in want.values()) / len(want))) and got[0].n == len(want)
     assert n < 20 * len(train), n
+
+
+def test_top_neighbors_move_ratings_not_raters_of_pairs(spark):
+    train, test = dense_ratings()
+    pairs = brute_force_cf(train, test)[0]
+    rated = {}
+    for u, i, _ in train:
+        rated.setdefault(u, set()).add(i)
+    want = {(u, i, n, k + 1) for u, i in test for k, n in enumerate(sorted((n for n in rated[u] if n != i and pairs[i, n] > 0), key=lambda n: (-round(pairs[i, n], 9), n))[:5])}
+    got = set()
+    a, b = frame(spark, train, "user long, item long, stars double"), frame(spark, test, "user long, item long")
+    n = shuffled(spark, lambda: got.update((r["user"], r["item"], r["neighbor"], r["rank"]) for r in recommend.top_neighbors(a, b, 5).collect()))
+    assert got == want
+    assert n < 20 * len(train), n
