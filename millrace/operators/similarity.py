@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import Scratch
+
 from .graph import checkpointed
 
 #: Hashes, bands and rows of a band; the modulus is a prime below 2^31.
@@ -57,6 +61,12 @@ def jaccard_of(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
     return both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+#: Elements whose counts set the order; kept elements of a block, and of all blocks that are dealt in one round; pairs of elements counted at once.
+HEAVY, BLOCK, DEALT, COUNTED = 1 << 16, 2_500_000, 150_000_000, 2_000_000
+#: 64-bit words of a row's bitmaps there.
+MARKS = 32
+
+
 def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All pairs at the threshold.
 
@@ -64,28 +74,178 @@ def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     sizes must be near enough, so common elements make no pairs.  Of the set
     whose kept elements end first in the common order, only shared ones and the
     rest can be in the overlap, so pairs with too few shared ones go as well.
+
+    Equal sets are one row until the end.  Rows are dealt to blocks by size, and
+    each two blocks whose sizes are near enough meet in one task, which counts
+    shared elements in arrays; only pairs that can reach the threshold leave it,
+    for which bitmaps also bound what the rest can add.
+    Shared elements are told by 32 bits of their hashes there, which can only
+    add pairs, and pairs are verified.
     """
-    rare = sets.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("id")
-    kept = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    ranked = sets.join(rare, "element").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("df", "element"))).filter(F.col("k") <= kept)
-    prefix = ranked.withColumn("last", F.max(F.struct("df", "element")).over(w)).select("id", F.xxhash64("element").alias("h"), "n", "last")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near)
-    counts = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.count(F.lit(1)).alias("c"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2"), F.first(F.col("a.last") <= F.col("b.last")).alias("first"))
-    rest = F.ceil(F.when(F.col("first"), F.col("n1")).otherwise(F.col("n2")) * threshold - 1e-9) - 1
-    need = (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-6
-    return jaccard_of(sets, counts.filter(F.col("c") + rest >= need).select("id1", "id2"), threshold)
+    scratch = Scratch(sets.sparkSession, "jaccard", True)
+    cut = scratch.cut
+    reps, member = folded(sets.filter("id IS NOT NULL"), cut)
+    reps, member = cut(reps), cut(member)
+    scratch.drop(reps, member)
+    heavy = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    sizes = sorted((r["n"], r["k"]) for r in reps.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect())
+    if not sizes:
+        return _unfolded(reps.select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("similarity")), member)
+    of, blocks = _blocks(sizes, threshold)
+    meet = [(i, j) for j in range(len(blocks)) for i in range(j + 1) if blocks[i][1] >= threshold * blocks[j][0] - 1e-9]
+    kept = cut(reps.mapInArrow(_kept(heavy, of, threshold), f"id {reps.schema['id'].dataType.simpleString()}, n int, block int, kept binary, marks binary, last_count long, last long"))
+    rounds, dealt, found = [[]], 0, []
+    for i, j in meet:
+        size = blocks[i][2] + (blocks[j][2] if i != j else 0)
+        if rounds[-1] and dealt + size > DEALT:
+            rounds.append([])
+            dealt = 0
+        rounds[-1].append((i, j))
+        dealt += size
+    for pairs in rounds:
+        to = {}
+        for k, (i, j) in enumerate(pairs):
+            for b in {i, j}:
+                to.setdefault(b, []).append((k, i != j and b == j))
+        table = F.create_map(*[x for b, there in to.items() for x in (F.lit(b), F.array(*[F.struct(F.lit(k).alias("task"), F.lit(right).alias("right")) for k, right in there]))])
+        sent = kept.select("*", F.explode(F.try_element_at(table, F.col("block"))).alias("t")).select("id", "n", "kept", "marks", "last_count", "last", "t.task", "t.right")
+        id_type = reps.schema["id"].dataType.simpleString()
+        found.append(cut(sent.groupBy("task").applyInArrow(_met(threshold), f"id1 {id_type}, id2 {id_type}")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    lists = reps.select("id", "s")
+    both = pairs.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
+    common = F.size(F.array_intersect("s1", "s2"))
+    exact = cut(both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold))
+    scratch.drop(exact, member)
+    return _unfolded(exact, member)
+
+
+def _blocks(sizes: list[tuple[int, int]], threshold: float) -> tuple[dict, list]:
+    """size -> (its first block, number of its blocks); (smallest size, largest size, kept elements) of each block."""
+    of, blocks, room = {}, [], 0
+    for n, k in sizes:
+        load = k * (n - int(np.ceil(n * threshold - 1e-9)) + 1)
+        if load > room:
+            parts = -(-load // BLOCK)
+            of[n] = (len(blocks), parts)
+            blocks += [[n, n, load // parts] for _ in range(parts)]
+            room = BLOCK - load if parts == 1 else 0
+        else:
+            of[n] = (len(blocks) - 1, 1)
+            blocks[-1][1] = n
+            blocks[-1][2] += load
+            room -= load
+    return of, blocks
+
+
+def _kept(heavy: pa.Table, of: dict, threshold: float):
+    """Of each set its rarest elements, 32 bits each, bitmaps of the rest and of the whole set, and the last kept one in the common order: count, then hash."""
+    h, c = np.array(heavy["h"], np.int64), np.array(heavy["c"], np.int64)
+    at = h.argsort()
+    h, c = h[at], c[at]
+
+    def run(batches):
+        for batch in batches:
+            blocks, kept, marks, counts, last = [], [], [], [], []
+            for s in batch.column("s"):
+                s = s.values.to_numpy()
+                n = len(s)
+                f = np.zeros(n, np.int64)
+                if len(h):
+                    to = np.minimum(np.searchsorted(h, s), len(h) - 1)
+                    f = np.where(h[to] == s, c[to], 0)
+                order = np.argsort(f, kind="stable")
+                order, rest = np.split(order, [n - int(np.ceil(n * threshold - 1e-9)) + 1])
+                bits = np.zeros((2, 64 * MARKS), bool)
+                bits[0, s[rest] & (64 * MARKS - 1)] = bits[1, s & (64 * MARKS - 1)] = True
+                marks.append(np.packbits(bits).tobytes())
+                first, parts = of[n]
+                blocks.append(first + int(s.sum() % parts))
+                kept.append((s[order] & 0xFFFFFFFF).astype(np.uint32).tobytes())
+                counts.append(int(f[order[-1]]))
+                last.append(int(s[order[-1]]))
+            yield pa.record_batch([batch.column("id"), batch.column("n"), pa.array(blocks, pa.int32()), pa.array(kept, pa.binary()), pa.array(marks, pa.binary()), pa.array(counts, pa.int64()), pa.array(last, pa.int64())], ["id", "n", "block", "kept", "marks", "last_count", "last"])
+
+    return run
+
+
+def _met(threshold: float):
+    """Of one or two blocks the pairs whose shared elements and sizes allow the threshold."""
+
+    def side(rows):
+        raw = rows["kept"].to_pylist()
+        size = np.array([len(x) // 4 for x in raw], np.int64)
+        n = np.array(rows["n"], np.int64)
+        end = np.ceil(n * threshold - 1e-9) - 1  # what is not kept
+        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint64).reshape(-1, 2, MARKS)
+        return np.frombuffer(b"".join(raw), np.uint32), size, n, end, np.array(rows["last_count"], np.int64), np.array(rows["last"], np.int64), marks
+
+    def run(rows: pa.Table) -> pa.Table:
+        right = np.array(rows["right"], bool)
+        one = not right.any()
+        left_rows = rows if one else rows.filter(pa.array(~right))
+        right_rows = rows if one else rows.filter(pa.array(right))
+        ha, size_a, na, rest_a, count_a, last_a, marks_a = side(left_rows)
+        hb, size_b, nb, rest_b, count_b, last_b, marks_b = side(right_rows)
+        width = len(nb)
+        order = np.argsort(hb, kind="stable")
+        key, start, times = np.unique(hb[order], return_index=True, return_counts=True)
+        owner = np.repeat(np.arange(width, dtype=np.int32), size_b)[order]
+        if len(ha) and len(key):
+            at = np.minimum(np.searchsorted(key, ha), len(key) - 1)
+            hit = (key[at] == ha) & (times[at] > (1 if one else 0))  # within a block an element meets itself
+        else:
+            at, hit = np.zeros(len(ha), np.int64), np.zeros(len(ha), bool)
+        row = np.repeat(np.arange(len(na)), size_a)[hit]
+        begin, length = start[at[hit]], times[at[hit]]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(na)))])  # entries before each row
+        work = np.concatenate([[0], np.cumsum(length)])[upto] if len(length) else np.zeros(len(na) + 1, np.int64)
+        # of each row the fewest shared elements that allow the threshold with any row of the other side
+        share = threshold / (1 + threshold)
+        least = share * (na + np.maximum(nb.min(initial=1), threshold * na)) - np.maximum(rest_a, rest_b.max(initial=0)) - 1e-6
+        least = np.maximum(np.ceil(least), 1).astype(np.int64)
+        xs, ys, x = [], [], 0
+        while x < len(na):
+            to = max(x + 1, min(int(np.searchsorted(work, work[x] + COUNTED, "right")) - 1, x + max(1, COUNTED // max(1, width)), len(na)))
+            lo, hi = upto[x], upto[to]
+            if hi > lo:
+                many = length[lo:hi]
+                places = np.repeat(begin[lo:hi] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                shared = np.bincount(owner[places] + np.repeat((row[lo:hi] - x) * width, many), minlength=(to - x) * width)
+                cell = np.flatnonzero(shared.reshape(-1, width) >= least[x:to, None])
+                i, j = np.divmod(cell, width)
+                i += x
+                if one:
+                    keep = i < j
+                    i, j, cell = i[keep], j[keep], cell[keep]
+                small, need = np.minimum(na[i], nb[j]), share * (na[i] + nb[j]) - 1e-6
+                first = (count_a[i] < count_b[j]) | ((count_a[i] == count_b[j]) & (last_a[i] <= last_b[j]))
+                most = shared[cell] + np.where(first, rest_a[i], rest_b[j])
+                can = np.flatnonzero((most >= need) & (small >= threshold * np.maximum(na[i], nb[j]) - 1e-9))
+                i, j, first, most, need = i[can], j[can], first[can], most[can], need[can]
+                can = np.ones(len(i), bool)
+                for k in range(0, len(i), 1 << 15):
+                    p, q, f = i[k : k + (1 << 15)], j[k : k + (1 << 15)], first[k : k + (1 << 15), None]
+                    alone = np.where(f, marks_a[p, 0] & ~marks_b[q, 1], marks_b[q, 0] & ~marks_a[p, 1])
+                    can[k : k + (1 << 15)] = most[k : k + (1 << 15)] - np.bitwise_count(alone).sum(axis=1, dtype=np.int64) >= need[k : k + (1 << 15)]
+                xs.append(i[can])
+                ys.append(j[can])
+            x = to
+        none = np.zeros(0, np.int64)
+        return pa.table({"id1": left_rows["id"].take(pa.array(np.concatenate([none, *xs]))), "id2": right_rows["id"].take(pa.array(np.concatenate([none, *ys])))})
+
+    return run
 
 
 #: Words of 64 bits in a set's bitmap, which bounds overlaps before sets travel.
 BITMAP = 16
 
 
-def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def folded(sets: DataFrame, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(id, s, n of one set of each kind, its elements hashed and sorted; id, rep: every id and the smallest id with its set)."""
-    whole = sets.groupBy("id").agg(F.sort_array(F.collect_list(F.xxhash64("element"))).alias("s"))
+    whole = cut(sets.groupBy("id").agg(F.sort_array(F.array_distinct(F.collect_list(F.xxhash64("element")))).alias("s")))
     keyed = whole.select("id", "s", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"))
     rep = keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = keyed.select("id", "d1", "d2").join(rep, ["d1", "d2"]).select("id", "rep")
@@ -125,7 +285,11 @@ def lsh_similar(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, row
     both = pairs.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
     common = F.size(F.array_intersect("s1", "s2"))
     found = both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
-    # members of either side, and the copies of a set among themselves
+    return _unfolded(found, member)
+
+
+def _unfolded(found: DataFrame, member: DataFrame) -> DataFrame:
+    """Pairs of all members of either side, and the copies of a set among themselves."""
     a, b = member.select(F.col("id").alias("a"), F.col("rep").alias("id1")), member.select(F.col("id").alias("b"), F.col("rep").alias("id2"))
     across = found.join(a, "id1").join(b, "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "similarity")
     copies = a.join(b.withColumnRenamed("id2", "id1"), "id1").filter("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2"), F.lit(1.0).alias("similarity"))

@@ -533,3 +533,32 @@ def test_top_neighbors_move_ratings_not_raters_of_pairs(spark):
     n = shuffled(spark, lambda: got.update((r["user"], r["item"], r["neighbor"], r["rank"]) for r in recommend.top_neighbors(a, b, 5).collect()))
     assert got == want
     assert n < 20 * len(train), n
+
+
+def test_rounds_move_only_raters_of_their_items(spark):
+    train, test = dense_ratings()
+    want = brute_force_cf(train, test)[1]
+    a, b = frame(spark, train, "user long, item long, stars double"), frame(spark, test, "user int, item int")  # of other types than the ratings
+    got = {}
+    n = shuffled(spark, lambda: got.update({(r.user, r["item"]): r.prediction for r in recommend.cf_predict(a, b).collect()}))
+    assert got == pytest.approx(want)
+    assert n < 13 * len(train), n
+
+
+def test_jaccard_moves_sets_not_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = {k: rng.sample(range(200), rng.randint(1, 40)) for k in range(240)}
+    near = {1000 + k: base[k][: len(base[k]) * 3 // 4] + [500 + k] for k in range(0, 240, 8)}
+    docs = {k: set(v) for k, v in (base | near | {2000: base[0]}).items()}
+    want = {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sorted(docs.items()), 2) if 2 * len(x & y) >= len(x | y)}
+    rows = [(k, str(e)) for k, v in docs.items() for e in v]
+    df = frame(spark, [*rows, rows[0], (None, "1")], "id long, element string")
+    got = {}
+    n = shuffled(spark, lambda: got.update({(r.id1, r.id2): r.similarity for r in similarity.jaccard_exact(df).collect()}))
+    assert got == pytest.approx(want) and len(want) > 20
+    assert n < len(rows), n
+    monkeypatch.setattr(similarity, "BLOCK", 500)  # several blocks, rounds and portions
+    monkeypatch.setattr(similarity, "DEALT", 3000)
+    monkeypatch.setattr(similarity, "COUNTED", 700)
+    assert {(r.id1, r.id2): r.similarity for r in similarity.jaccard_exact(df).collect()} == pytest.approx(want)
+    assert similarity.jaccard_exact(df.limit(0)).count() == 0
