@@ -69,14 +69,15 @@ def _folded(raw: F.Column) -> F.Column:
     return F.when(raw > 1, 1 / raw).otherwise(raw)
 
 
-def _together(one: DataFrame, filters: DataFrame) -> DataFrame:
+def _together(one: DataFrame, filters: DataFrame, raters: DataFrame | None = None) -> DataFrame:
     """item, neighbor, sim of pairs that some user has rated both of: all that the item's filter has, and few others.
 
     one: user, item, stars, avg (the item's mean).  The filter of an item goes
     to its raters, and a pair is only made there if the filter has the neighbor.
+    raters: the rows of one whose items can have a filter, if not all.
     """
     dev = (F.col("stars") - F.col("avg")).alias
-    x = one.select("user", "item", dev("dx")).join(filters, "item").select("user", "item", "dx", "w")
+    x = (one if raters is None else raters).select("user", "item", dev("dx")).join(filters, "item").select("user", "item", "dx", "w")
     y = one.select("user", F.col("item").alias("neighbor"), dev("dy"), F.hash("item").alias("mark"))
     a, b = x.alias("a"), y.alias("b")
     met = a.join(b, (F.col("a.user") == F.col("b.user")) & (F.col("a.item") != F.col("b.neighbor")) & _may_have("a.w", "b.mark"))
@@ -112,10 +113,11 @@ class Rated:
         cut = self.scratch.cut
         seen = self.one.select("user", F.hash("item").alias("mark")).groupBy("user").agg(_filter("mark").alias("w"))
         known = cut(self.pairs.join(self.items.withColumnRenamed("avg", "ba"), "item").join(seen, "user").select("user", "item", "ba", "w"))
-        part, found = F.pmod(F.xxhash64("item"), F.lit(ROUNDS)), []
+        # both sides hash the item as the training set has it, so only raters of the class are moved to its filters
+        part, found = F.pmod(F.xxhash64(F.col("item").cast(self.one.schema["item"].dataType)), F.lit(ROUNDS)), []
         for k in range(ROUNDS):
-            mine = known.filter(part == k)  # of the raters' side the join with the filters keeps the class
-            sims = _together(self.one, mine.groupBy("item").agg(_either("w").alias("w"))).withColumn("mark", F.hash("neighbor"))
+            mine = known.filter(part == k)
+            sims = _together(self.one, mine.groupBy("item").agg(_either("w").alias("w")), self.one.filter(part == k)).withColumn("mark", F.hash("neighbor"))
             a, b = mine.select("user", "item", "w").alias("a"), sims.alias("b")
             wanted = a.join(b, (F.col("a.item") == F.col("b.item")) & _may_have("a.w", "b.mark"))
             found.append(cut(wanted.select("a.user", "a.item", "neighbor", "sim")))
