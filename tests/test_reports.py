@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import programs
-from millrace.operators import explore, graph, sketch
+from millrace.operators import explore, graph, similarity, sketch
 from millrace.plans import catalog, reports
 from millrace.sources import shared, writers
 from millrace.streaming import live
 
 from .conftest import SMALL
+from .test_operators import shuffled
 from .test_entry import TABLES, rows
 
 NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ == reports.__name__)
@@ -160,3 +161,10 @@ def test_tables_of_a_computation_go(spark):
     paths = [p.removeprefix("file://") for p, _ in s.paths.values()]
     s.drop(b)
     assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 4 and a is not b
+
+
+def test_similarity_lines_move_sets_not_pairs(spark):
+    sets = similarity.word_sets(catalog.t(spark, SMALL, "documents")).count()
+    got = []
+    n = shuffled(spark, lambda: got.extend(r.value for r in reports.similarity_lines(spark, SMALL).collect()))
+    assert got[0] == "business_id_1, business_id_2, similarity" and n < sets, (n, sets)
