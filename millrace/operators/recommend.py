@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -90,16 +91,19 @@ class Rated:
     """Tables of a training set and the pairs to be predicted, each computed once.
 
     one: user, item, stars (the mean of repeats), avg (the item's mean).
-    users, items: means.  pairs: the distinct pairs.
+    users, items: means.  pairs: the distinct pairs.  ``one`` lies by users, so
+    no round moves all ratings.
+    spent: called once the training set has been read for the last time.
     """
 
-    def __init__(self, train: DataFrame, test: DataFrame) -> None:
+    def __init__(self, train: DataFrame, test: DataFrame, spent: Callable[[], None] = lambda: None) -> None:
         self.scratch = Scratch(train.sparkSession, "ratings", True)
         cut = self.scratch.cut
         summed = cut(train.groupBy("user", "item").agg(F.avg("stars").alias("stars"), F.sum("stars").alias("s"), F.count("stars").alias("n")))
         mean = F.try_divide(F.sum("s"), F.sum("n")).cast("double").alias("avg")
         self.users, self.items = cut(summed.groupBy("user").agg(mean)), cut(summed.groupBy("item").agg(mean))
-        self.one = cut(summed.join(self.items, "item").select("user", "item", "stars", "avg"))
+        spent()
+        self.one = self.scratch.cut_by(summed.join(self.items, "item").select("user", "item", "stars", "avg"), "user")
         self.scratch.drop(self.users, self.items, self.one)
         self.pairs = cut(test.select("user", "item").distinct())
 
@@ -128,14 +132,14 @@ class Rated:
         return base.join(rated, "user").filter("neighbor <> item").select("user", "item", "neighbor", "stars", sim.alias("sim"))
 
 
-def pair_similarity(train: DataFrame, test: DataFrame) -> DataFrame:
+def pair_similarity(train: DataFrame, test: DataFrame, spent: Callable[[], None] = lambda: None) -> DataFrame:
     """item, neighbor, sim of each test item and what a user who tests it has rated."""
-    return Rated(train, test).near().groupBy("item", "neighbor").agg(F.first("sim").alias("sim"))
+    return Rated(train, test, spent).near().groupBy("item", "neighbor").agg(F.first("sim").alias("sim"))
 
 
-def top_neighbors(train: DataFrame, test: DataFrame, k: int = 30) -> DataFrame:
+def top_neighbors(train: DataFrame, test: DataFrame, k: int = 30, spent: Callable[[], None] = lambda: None) -> DataFrame:
     """The k most similar rated neighbors with positive similarity; ties by neighbor."""
-    return _top(Rated(train, test), k)
+    return _top(Rated(train, test, spent), k)
 
 
 def _top(rated: Rated, k: int) -> DataFrame:
@@ -143,13 +147,13 @@ def _top(rated: Rated, k: int) -> DataFrame:
     return rated.near().filter("sim > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cf_predict(train: DataFrame, test: DataFrame, k: int = 30, cold: float = 2.5) -> DataFrame:
+def cf_predict(train: DataFrame, test: DataFrame, k: int = 30, cold: float = 2.5, spent: Callable[[], None] = lambda: None) -> DataFrame:
     """user, item, prediction, branch for each distinct test pair.
 
     Unknown item and user: ``cold``; unknown item: the user's mean; unknown user,
     or no similar neighbor: the item's mean; else the weighted mean.
     """
-    rated = Rated(train, test)
+    rated = Rated(train, test, spent)
     best = rated.scratch.cut(_top(rated, k).groupBy("user", "item").agg((F.sum(F.col("sim") * F.col("stars")) / F.sum(F.abs("sim"))).alias("cf")))
     rated.scratch.drop(rated.users, rated.items, rated.pairs, best)
     out = rated.pairs.join(rated.users.withColumnRenamed("avg", "ua"), "user", "left").join(rated.items.withColumnRenamed("avg", "ia"), "item", "left").join(best, ["user", "item"], "left")

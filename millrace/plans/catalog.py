@@ -265,9 +265,16 @@ def _ratings(s, d):
 
 def split(s, d):
     """Every rating in train or in test: every twentieth order is tested, and all ratings of some users and items, so cold branches occur.  The join is made once."""
-    r = shared.materialise_tidy(_ratings(s, d), "rated")
+    return _split(s, d)[:2]
+
+
+def _split(s, d):
+    """train, test, and what to call when train has been read for the last time: it removes the table."""
+    scratch = shared.Scratch(s, "rated", True)
+    r = scratch.cut(_ratings(s, d))
     learnt = (F.col("k") % 20 != 0) & (F.col("item") % 25 != 0) & (F.col("user") % 50 != 0)
-    return r.filter(learnt).select("user", "item", "stars"), r.filter(~learnt).groupBy("user", "item").agg(F.avg("stars").alias("stars"))
+    test = scratch.cut(r.filter(~learnt).groupBy("user", "item").agg(F.avg("stars").alias("stars")))
+    return r.filter(learnt).select("user", "item", "stars"), test, lambda: scratch.drop(test)
 
 
 _SPLIT = """WITH r AS (SELECT o_orderkey AS k, o_custkey AS user, l_partkey AS item, 1.0 + CAST(l_quantity AS INT) % 5 AS stars FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
@@ -302,31 +309,32 @@ def user_item_means(s, d):
 
 @query(_SPLIT + _PEARSON + " SELECT item, neighbor, round(sim + 1e-9, 5) AS sim FROM sim")
 def pearson_pairs(s, d):
-    train, test = split(s, d)
-    return recommend.pair_similarity(train, test).withColumn("sim", F.round(F.col("sim") + 1e-9, 5))  # no exact halves to round
+    train, test, spent = _split(s, d)
+    return recommend.pair_similarity(train, test, spent).withColumn("sim", F.round(F.col("sim") + 1e-9, 5))  # no exact halves to round
 
 
 @query(_SPLIT + _PEARSON + _TOPN + " SELECT user, item, neighbor, stars, CAST(rank AS INT) AS rank FROM top")
 def cf_neighbors_topk(s, d):
-    train, test = split(s, d)
-    return recommend.top_neighbors(train, test).select("user", "item", "neighbor", "stars", "rank")
+    train, test, spent = _split(s, d)
+    return recommend.top_neighbors(train, test, spent=spent).select("user", "item", "neighbor", "stars", "rank")
 
 
 @query(_SPLIT + _PEARSON + _TOPN + _CF + " SELECT user, item, round(prediction, 5) AS prediction, branch FROM pred")
 def cf_predict(s, d):
-    return recommend.cf_predict(*split(s, d)).withColumn("prediction", F.round("prediction", 5))
+    train, test, spent = _split(s, d)
+    return recommend.cf_predict(train, test, spent=spent).withColumn("prediction", F.round("prediction", 5))
 
 
 @query(_SPLIT + _PEARSON + _TOPN + _CF + " SELECT round(sqrt(avg((prediction - stars) * (prediction - stars))), 5) AS rmse, count(*) AS n FROM pred")
 def rmse(s, d):
-    train, test = split(s, d)
-    return recommend.rmse(recommend.cf_predict(train, test), test).withColumn("rmse", F.round("rmse", 5))
+    train, test, spent = _split(s, d)
+    return recommend.rmse(recommend.cf_predict(train, test, spent=spent), test).withColumn("rmse", F.round("rmse", 5))
 
 
 @query(_SPLIT + _PEARSON + _TOPN + _CF + " SELECT CAST(least(floor(round(abs(prediction - stars), 9)), 4) AS INT) AS bucket, count(*) AS n FROM pred GROUP BY 1")
 def error_histogram(s, d):
-    train, test = split(s, d)
-    predicted = recommend.cf_predict(train, test)
+    train, test, spent = _split(s, d)
+    predicted = recommend.cf_predict(train, test, spent=spent)
     rounded = predicted.join(test, ["user", "item"]).select("user", "item", (F.col("stars") + F.round(F.abs(F.col("prediction") - F.col("stars")), 9)).alias("prediction"))
     return recommend.error_histogram(rounded, test)
 
@@ -393,8 +401,9 @@ def gbt_predict_extended(s, d):
 
 @query()
 def hybrid_predict(s, d):
-    train, test, model = _model(s, d)
-    return recommend.hybrid(recommend.cf_predict(train, test), model)
+    train, test, spent = _split(s, d)
+    model = shared.materialise_tidy(_model(s, d, parts=(train, test))[2], "model")
+    return recommend.hybrid(recommend.cf_predict(train, test, spent=spent), model)
 
 
 @query(_SPLIT + " SELECT user, item, true AS in_range FROM test")

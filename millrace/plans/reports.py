@@ -161,7 +161,7 @@ def similarity_lines(s, d):
 
 @query("SELECT 'user_id, business_id, prediction' AS value UNION ALL (" + catalog._SPLIT + catalog._PEARSON + catalog._TOPN + catalog._CF + " SELECT user || ',' || item || ',' || round(prediction, 5) FROM pred)")
 def prediction_lines(s, d):
-    return writers.prediction_lines(recommend.cf_predict(*catalog.split(s, d)).withColumn("prediction", F.round("prediction", 5)))
+    return writers.prediction_lines(catalog.cf_predict(s, d))
 
 
 @query(catalog._LPA + " SELECT string_agg('''' || id || '''', ', ' ORDER BY CAST(id AS VARCHAR)) AS value FROM l5 GROUP BY label")

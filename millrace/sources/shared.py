@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, object] = {}  # path -> the JVM that can remove it
+_tables: dict[str, tuple[SparkSession, str]] = {}  # path -> the session and the name of a table that the catalogue has there
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +48,17 @@ def register(spark: SparkSession, path: str) -> None:
 def remove(spark: SparkSession, *paths: str) -> None:
     """Remove tables and folders that no frame will read again."""
     for path in paths:
+        _forget(path)
         _delete(spark._jvm, path)
         _made.pop(path, None)
 
 
+def _forget(path: str) -> None:
+    if path in _tables:
+        spark, table = _tables.pop(path)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _delete(jvm, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
@@ -60,6 +68,8 @@ def _delete(jvm, path: str) -> None:
 def _remove_all() -> None:
     for path, jvm in _made.items():
         with contextlib.suppress(Exception):  # the JVM may be gone
+            _forget(path)
+        with contextlib.suppress(Exception):
             _delete(jvm, path)
 
 
@@ -105,6 +115,17 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def cut_by(self, df: DataFrame, key: str) -> DataFrame:
+        """The same as a table of one sorted file for each hash of the key: a join or aggregate by the key does not shuffle it, in as many partitions as shuffles have now."""
+        path, n = fresh_path(self.spark, self.name), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = "millrace_" + path.rsplit("-", 1)[-1]
+        with tidy(self.spark) if self.clean else contextlib.nullcontext():
+            df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+        out = self.spark.table(table)
+        self.paths[id(out)] = (path, out)
+        _tables[path] = (self.spark, table)
+        return out
+
     def drop(self, *keep: DataFrame) -> None:
         kept = {id(k) for k in keep}
         for k, (path, _) in list(self.paths.items()):

@@ -562,3 +562,16 @@ def test_jaccard_moves_sets_not_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "COUNTED", 700)
     assert {(r.id1, r.id2): r.similarity for r in similarity.jaccard_exact(df).collect()} == pytest.approx(want)
     assert similarity.jaccard_exact(df.limit(0)).count() == 0
+
+
+def test_ratings_lie_by_users(spark):
+    """No round of similarities moves all ratings, and the training set goes once it is read."""
+    train = spark.createDataFrame([(u, i, float(u * i % 5)) for u in range(6) for i in range(5)], "user long, item long, stars double")
+    test = spark.createDataFrame([(1, 2), (3, 4)], "user long, item long")
+    spent = []
+    rated = recommend.Rated(train, test, lambda: spent.append(1))
+    plan = rated.one.groupBy("user").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and spent == [1] and rated.one.count() == 30
+    path = rated.scratch.paths[id(rated.one)][0]
+    rated.scratch.drop()
+    assert not spark.catalog.tableExists("millrace_" + path.rsplit("-", 1)[-1])
