@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -101,6 +102,22 @@ def tidy(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+#: Tables that are made between two times that the driver's JVM gives memory back.
+SETTLE = 8
+_cuts = itertools.count(1)
+
+
+def settle(spark: SparkSession) -> None:
+    """The driver's JVM gives back what its heap and its C library hold free: plans of many stages leave both behind, and neither shrinks by itself."""
+    with contextlib.suppress(Exception):  # another JVM or C library may not offer it
+        jvm = spark._jvm
+        jvm.System.gc()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # the server's own class is closed to reflection
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 class Scratch:
     """Tables of one computation; ``drop`` removes those that its result does not read.  ``clean``: shuffle files go when a table is made."""
 
@@ -113,6 +130,8 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
+        if next(_cuts) % SETTLE == 0:
+            settle(self.spark)
         return out
 
     def cut_by(self, df: DataFrame, key: str) -> DataFrame:
