@@ -61,7 +61,7 @@ def jaccard_of(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
     return both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-#: Elements whose counts set the order; kept elements of a block, and of all blocks that are dealt in one round; pairs of elements counted at once.
+#: Elements whose counts set the order; kept elements of a block, and 32-bit words of all blocks that are dealt in one round; pairs of elements counted at once.
 HEAVY, BLOCK, DEALT, COUNTED = 1 << 16, 2_500_000, 150_000_000, 2_000_000
 #: 64-bit words of a row's bitmaps there.
 MARKS = 32
@@ -96,7 +96,7 @@ def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     kept = cut(reps.mapInArrow(_kept(heavy, of, threshold), f"id {reps.schema['id'].dataType.simpleString()}, n int, block int, kept binary, marks binary, last_count long, last long"))
     rounds, dealt, found = [[]], 0, []
     for i, j in meet:
-        size = blocks[i][2] + (blocks[j][2] if i != j else 0)
+        size = sum(blocks[b][2] + 4 * MARKS * blocks[b][3] for b in {i, j})  # bitmaps travel too, 4 * MARKS times 32 bits a row
         if rounds[-1] and dealt + size > DEALT:
             rounds.append([])
             dealt = 0
@@ -123,19 +123,20 @@ def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def _blocks(sizes: list[tuple[int, int]], threshold: float) -> tuple[dict, list]:
-    """size -> (its first block, number of its blocks); (smallest size, largest size, kept elements) of each block."""
+    """size -> (its first block, number of its blocks); (smallest size, largest size, kept elements, rows) of each block."""
     of, blocks, room = {}, [], 0
     for n, k in sizes:
         load = k * (n - int(np.ceil(n * threshold - 1e-9)) + 1)
         if load > room:
             parts = -(-load // BLOCK)
             of[n] = (len(blocks), parts)
-            blocks += [[n, n, load // parts] for _ in range(parts)]
+            blocks += [[n, n, load // parts, k // parts] for _ in range(parts)]
             room = BLOCK - load if parts == 1 else 0
         else:
             of[n] = (len(blocks) - 1, 1)
             blocks[-1][1] = n
             blocks[-1][2] += load
+            blocks[-1][3] += k
             room -= load
     return of, blocks
 

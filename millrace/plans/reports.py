@@ -156,12 +156,12 @@ def itemset_file(s, d):
 @query(f"SELECT 'business_id_1, business_id_2, similarity' AS value UNION ALL SELECT id1 || ',' || id2 || ',' || similarity FROM ({catalog._JACCARD})")
 def similarity_lines(s, d):
     found = similarity.jaccard_exact(similarity.word_sets(t(s, d, "documents"))).withColumn("similarity", F.round("similarity", 9))
-    return writers.similarity_lines(found)
+    return writers.similarity_lines(shared.materialise_tidy(found, "found"))  # the sort reads it twice
 
 
 @query("SELECT 'user_id, business_id, prediction' AS value UNION ALL (" + catalog._SPLIT + catalog._PEARSON + catalog._TOPN + catalog._CF + " SELECT user || ',' || item || ',' || round(prediction, 5) FROM pred)")
 def prediction_lines(s, d):
-    return writers.prediction_lines(catalog.cf_predict(s, d))
+    return writers.prediction_lines(shared.materialise_tidy(catalog.cf_predict(s, d), "predicted"))  # the sort reads it twice
 
 
 @query(catalog._LPA + " SELECT string_agg('''' || id || '''', ', ' ORDER BY CAST(id AS VARCHAR)) AS value FROM l5 GROUP BY label")

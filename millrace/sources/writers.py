@@ -61,12 +61,13 @@ def lines(df: DataFrame, order: list, cells: list, header: str | None = None) ->
     The sort is by ranges, so a large report is written by many tasks, whose
     files in the order of their names are the report.
     """
-    body = df.select(F.lit(1).alias("_part"), F.struct(*order).alias("_key"), F.concat_ws(",", *[c.cast("string") for c in cells]).alias("value"))
+    keys = [c if isinstance(c, str) else f"_key{k}" for k, c in enumerate(order)]
+    body = df.select(F.lit(1).alias("_part"), "*", *[c.alias(k) for c, k in zip(order, keys) if not isinstance(c, str)])
+    value = F.concat_ws(",", *[c.cast("string") for c in cells])  # made after the sort, which moves values and not their text
     if header is not None:
-        kind = body.schema["_key"].dataType
-        first = df.sparkSession.range(1).select(F.lit(0).alias("_part"), F.lit(None).cast(kind).alias("_key"), F.lit(header).alias("value"))
-        body = first.unionByName(body)
-    return body.orderBy("_part", "_key").select("value")
+        body = df.sparkSession.range(1).select(F.lit(0).alias("_part")).unionByName(body, allowMissingColumns=True)
+        value = F.when(F.col("_part") == 0, F.lit(header)).otherwise(value)
+    return body.orderBy("_part", *keys).select(value.alias("value"))
 
 
 def similarity_lines(pairs: DataFrame) -> DataFrame:

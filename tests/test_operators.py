@@ -575,3 +575,9 @@ def test_ratings_lie_by_users(spark):
     path = rated.scratch.paths[id(rated.one)][0]
     rated.scratch.drop()
     assert not spark.catalog.tableExists("millrace_" + path.rsplit("-", 1)[-1])
+
+
+def test_blocks_know_their_rows(monkeypatch):
+    """Bitmaps of rows are dealt beside kept elements, so a round's size needs both."""
+    monkeypatch.setattr(similarity, "BLOCK", 30)
+    assert similarity._blocks([(4, 5), (6, 2), (8, 20)], 0.5)[1] == [[4, 6, 23, 7], *[[8, 8, 25, 5]] * 4]

@@ -168,3 +168,12 @@ def test_similarity_lines_move_sets_not_pairs(spark):
     got = []
     n = shuffled(spark, lambda: got.extend(r.value for r in reports.similarity_lines(spark, SMALL).collect()))
     assert got[0] == "business_id_1, business_id_2, similarity" and n < sets, (n, sets)
+
+
+def test_lines_are_sorted_before_they_are_text(spark):
+    """The sort moves values; text is made after it."""
+    df = spark.createDataFrame([(2, 1.0, None), (1, 2.5, "x"), (None, 0.5, "y")], "id long, v double, w string")
+    out = writers.lines(df, ["id", (-df.v).alias("v")], [F.col("id"), F.col("v"), F.col("w")], "head")
+    assert [r.value for r in out.collect()] == ["head", "0.5,y", "1,2.5,x", "2,1.0"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("concat_ws") < plan.index("Sort ")
