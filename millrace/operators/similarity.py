@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +46,76 @@ def lsh_bands(signatures: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return signatures.select("id", F.explode(keys).alias("b")).select("id", "b.band", "b.key")
 
 
+#: Rows of a block of signatures, and blocks besides; cells of one block against rows of another that are marked at once; pairs of a batch.
+SIGNED, SPREAD, CELLS, OUT = 60_000, 3, 8_000_000, 200_000
+
+
 def lsh_candidates(bands: DataFrame) -> DataFrame:
-    """Distinct id1 < id2 that share a band's key."""
-    a, b = bands.alias("a"), bands.alias("b")
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
+    """Distinct id1 < id2 that share a band's key.
+
+    Pairs are many more than rows, so they are made once and never moved: each
+    two blocks of ids meet in one task, which marks what shares a key in arrays
+    and hands on the marks.  Keys are told by 64-bit hashes.
+    """
+    scratch = Scratch(bands.sparkSession, "signed", True)
+    keyed = scratch.cut(bands.filter("id IS NOT NULL").groupBy("id").agg(F.collect_set(F.xxhash64("band", "key")).alias("keys")))
+    n = -(-keyed.count() // SIGNED) + SPREAD
+    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")
+    # tasks (i, j) with i <= j, i * n + j; the rows of the second block are on the right
+    tasks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((F.least(k, block) * n + F.greatest(k, block)).alias("task"), (k < block).alias("right")))
+    dealt = keyed.select("id", "keys", F.explode(tasks).alias("t")).select("id", "keys", "t.task", "t.right")
+    kind = bands.schema["id"].dataType.simpleString()
+    return dealt.repartition(n * (n + 1) // 2, "task").sortWithinPartitions("task").mapInArrow(_candidates(n), f"id1 {kind}, id2 {kind}")
+
+
+def _candidates(n: int):
+    """Of each task's rows the pairs that share a key, in batches."""
+
+    def met(task: int, rows: pa.Table):
+        right = np.array(rows["right"], bool)
+        one = task // n == task % n
+        a, b = (rows, rows) if one else (rows.filter(pa.array(~right)), rows.filter(pa.array(right)))
+        ids_a, ids_b = a["id"].combine_chunks(), b["id"].combine_chunks()
+        width = len(ids_b)
+        if not len(ids_a) or not width:
+            return
+        sides = [(pc.list_flatten(x["keys"]).to_numpy(), np.repeat(np.arange(len(x)), pc.list_value_length(x["keys"]).to_numpy())) for x in (a, b)]
+        (ka, owner_a), (kb, owner_b) = sides
+        order = np.argsort(kb, kind="stable")
+        kb, owner_b = kb[order], owner_b[order]
+        low, high = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
+        starts = np.searchsorted(owner_a, np.arange(len(ids_a) + 1))  # rows' keys
+        step = max(1, CELLS // width)
+        for x in range(0, len(ids_a), step):
+            to = min(x + step, len(ids_a))
+            seen = np.zeros((to - x, width), bool)
+            for k in range(starts[x], starts[to]):
+                seen[owner_a[k] - x, owner_b[low[k] : high[k]]] = True
+            i, j = np.nonzero(seen)
+            i += x
+            if one:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), OUT):
+                p, q = ids_a.take(pa.array(i[k : k + OUT])), ids_b.take(pa.array(j[k : k + OUT]))
+                less = pc.less(p, q)
+                yield pa.record_batch([pc.if_else(less, p, q), pc.if_else(less, q, p)], ["id1", "id2"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            task = np.array(batch.column("task"), np.int64)
+            ends = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for lo, hi in zip(ends, ends[1:]):
+                if hi > lo and task[lo] != now:
+                    if held:
+                        yield from met(int(now), pa.Table.from_batches(held))
+                    now, held = task[lo], []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from met(int(now), pa.Table.from_batches(held))
+
+    return run
 
 
 def jaccard_of(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:

@@ -581,3 +581,23 @@ def test_blocks_know_their_rows(monkeypatch):
     """Bitmaps of rows are dealt beside kept elements, so a round's size needs both."""
     monkeypatch.setattr(similarity, "BLOCK", 30)
     assert similarity._blocks([(4, 5), (6, 2), (8, 20)], 0.5)[1] == [[4, 6, 23, 7], *[[8, 8, 25, 5]] * 4]
+
+
+def test_candidates_are_made_once_and_not_moved(spark, monkeypatch):
+    """Pairs share any key of a band, equal keys of other bands do not count, and only rows are shuffled."""
+    import random
+
+    rng = random.Random(5)
+    keys = {k: [str(rng.randrange(6)) for _ in range(4)] for k in range(120)}
+    want = {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if any(x == y for x, y in zip(keys[a], keys[b]))}
+    rows = [(k, band, key) for k, ks in keys.items() for band, key in enumerate(ks)]
+    df = frame(spark, [*rows, rows[0], (None, 0, "1")], "id long, band int, key string")
+    got = []
+    n = shuffled(spark, lambda: got.extend((r.id1, r.id2) for r in similarity.lsh_candidates(df).collect()))
+    assert len(got) == len(want) and set(got) == want
+    assert n < 2 * len(rows) < len(want), n
+    monkeypatch.setattr(similarity, "SIGNED", 30)
+    monkeypatch.setattr(similarity, "CELLS", 100)
+    monkeypatch.setattr(similarity, "OUT", 7)
+    assert sorted(map(tuple, similarity.lsh_candidates(df).collect())) == sorted(want)
+    assert similarity.lsh_candidates(df.limit(0)).count() == 0
