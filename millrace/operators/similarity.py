@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 from millrace.sources.shared import Scratch
 
-from .graph import checkpointed
-
 #: Hashes, bands and rows of a band; the modulus is a prime below 2^31.
 HASHES, BANDS, ROWS, MODULUS = 60, 30, 2, 2_147_483_647
 
@@ -58,18 +57,42 @@ def lsh_candidates(bands: DataFrame) -> DataFrame:
     and hands on the marks.  Keys are told by 64-bit hashes.
     """
     scratch = Scratch(bands.sparkSession, "signed", True)
-    keyed = scratch.cut(bands.filter("id IS NOT NULL").groupBy("id").agg(F.collect_set(F.xxhash64("band", "key")).alias("keys")))
+    return _sharing(scratch.cut(bands.filter("id IS NOT NULL").groupBy("id").agg(F.collect_set(F.xxhash64("band", "key")).alias("keys"))))
+
+
+def _sharing(keyed: DataFrame, threshold: float | None = None) -> DataFrame:
+    """id1 < id2 of rows id, keys that share a key; with a threshold also n, b (size and bitmap), which must allow it."""
     n = -(-keyed.count() // SIGNED) + SPREAD
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")
     # tasks (i, j) with i <= j, i * n + j; the rows of the second block are on the right
     tasks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((F.least(k, block) * n + F.greatest(k, block)).alias("task"), (k < block).alias("right")))
-    dealt = keyed.select("id", "keys", F.explode(tasks).alias("t")).select("id", "keys", "t.task", "t.right")
-    kind = bands.schema["id"].dataType.simpleString()
-    return dealt.repartition(n * (n + 1) // 2, "task").sortWithinPartitions("task").mapInArrow(_candidates(n), f"id1 {kind}, id2 {kind}")
-
-
-def _candidates(n: int):
-    """Of each task's rows the pairs that share a key, in batches."""
+    dealt = keyed.select("*", F.explode(tasks).alias("t")).select(*keyed.columns, "t.task", "t.right")
+    kind = keyed.schema["id"].dataType.simpleString()
+    return dealt.repartition(n * (n + 1) // 2, "task").sortWithinPartitions("task").mapInArrow(_candidates(n, threshold), f"id1 {kind}, id2 {kind}")
+
+
+def _candidates(n: int, threshold: float | None):
+    """Of each task's rows the pairs that share a key and can reach the threshold, in batches."""
+
+    def can(a, b, i, j):
+        """Places of the pairs whose sizes, and then bitmaps, allow the threshold."""
+        na, nb = a[0], b[0]
+        small, large = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+        near = np.flatnonzero(small >= threshold * large - 1e-9)
+        out = []
+        for k in range(0, len(near), 1 << 15):
+            at = near[k : k + (1 << 15)]
+            for (ba, free_a), (bb, free_b) in zip(a[1:], b[1:]):
+                x, y = i[at], j[at]
+                most = np.bitwise_count(ba[x] & bb[y]).sum(axis=1, dtype=np.int64) + np.minimum(free_a[x], free_b[y])
+                at = at[most >= (na[x] + nb[y]) * (threshold / (1 + threshold)) - 1e-6]
+            out.append(at)
+        return np.concatenate([near[:0], *out])
+
+    def sized(rows):
+        size, bits = np.array(rows["n"], np.int64), np.frombuffer(b"".join(rows["b"].to_pylist()), np.uint64).reshape(-1, BITMAP)
+        coarse = np.bitwise_or.reduce(bits.reshape(-1, BITMAP // COARSE, COARSE), axis=1)
+        return size, *((x, size - np.bitwise_count(x).sum(axis=1, dtype=np.int64)) for x in (coarse, bits))  # a bitmap, and elements beyond one a bit
 
     def met(task: int, rows: pa.Table):
         right = np.array(rows["right"], bool)
@@ -86,6 +109,8 @@ def _candidates(n: int):
         low, high = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
         starts = np.searchsorted(owner_a, np.arange(len(ids_a) + 1))  # rows' keys
         step = max(1, CELLS // width)
+        if threshold is not None:
+            told_a, told_b = sized(a), sized(b)
         for x in range(0, len(ids_a), step):
             to = min(x + step, len(ids_a))
             seen = np.zeros((to - x, width), bool)
@@ -95,6 +120,9 @@ def _candidates(n: int):
             i += x
             if one:
                 i, j = i[i < j], j[i < j]
+            if threshold is not None:
+                keep = can(told_a, told_b, i, j)
+                i, j = i[keep], j[keep]
             for k in range(0, len(i), OUT):
                 p, q = ids_a.take(pa.array(i[k : k + OUT])), ids_b.take(pa.array(j[k : k + OUT]))
                 less = pc.less(p, q)
@@ -307,8 +335,8 @@ def _met(threshold: float):
     return run
 
 
-#: Words of 64 bits in a set's bitmap, which bounds overlaps before sets travel.
-BITMAP = 16
+#: Words of 64 bits in a set's bitmap, which bounds overlaps before sets travel, and in its folded form, which is compared first; pairs whose sets travel at once.
+BITMAP, COARSE, TRAVEL = 64, 16, 500_000
 
 
 def folded(sets: DataFrame, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
@@ -320,39 +348,44 @@ def folded(sets: DataFrame, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
     return whole.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").withColumn("n", F.size("s")), member
 
 
-def _bitmap(s: F.Column) -> F.Column:
-    """1 for each of the low bits that an element of the set has."""
-    places = F.array_distinct(F.transform(s, lambda x: x.bitwiseAND(64 * BITMAP - 1)))
-    word = lambda w: F.aggregate(F.filter(places, lambda p: F.shiftright(p, 6) == w), F.lit(0).cast("bigint"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(63).cast("int"))))
-    return F.array(*[word(w) for w in range(BITMAP)])
+def _marked(batches):
+    """id, n, keys and b: 1 for each of the low bits that an element of the set s has."""
+    for batch in batches:
+        marks = []
+        for s in batch.column("s"):
+            bits = np.zeros(64 * BITMAP, bool)
+            bits[s.values.to_numpy() & (64 * BITMAP - 1)] = True
+            marks.append(np.packbits(bits).tobytes())
+        yield pa.record_batch([batch.column("id"), batch.column("n"), batch.column("keys"), pa.array(marks, pa.binary())], ["id", "n", "keys", "b"])
 
 
 def lsh_similar(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Pairs found by LSH and verified exactly.
 
-    Equal sets are one row until the end, so copies are compared once.  A pair
-    that meets in several bands is taken in the first; sizes and bitmaps, which
-    bound the overlap from above, are compared where the pair is made, so only
-    pairs that can reach the threshold are shuffled, and sets join those.
+    Equal sets are one row until the end, so copies are compared once.  Blocks
+    of signatures meet as in ``lsh_candidates``; sizes and bitmaps, which bound
+    the overlap from above, are compared where the pair is made, so only pairs
+    that can reach the threshold leave the task, and sets join those.
     """
-    reps, member = folded(sets)
-    reps, member = checkpointed(reps), checkpointed(member)
+    scratch = Scratch(sets.sparkSession, "lsh", True)
+    cut = scratch.cut
+    reps, member = folded(sets.filter("id IS NOT NULL"), cut)
+    reps, member = cut(reps), cut(member)
+    scratch.drop(reps, member)
     signed = minhash(sets.join(reps.select("id"), "id", "left_semi"), bands * rows)
-    keys = F.array(*[F.xxhash64(*[F.col("signature")[i * rows + r] for r in range(rows)]) for i in range(bands)])
-    head = signed.select("id", keys.alias("keys")).join(reps.select("id", "n", _bitmap(F.col("s")).alias("b")), "id")
-    dealt = head.select("id", "n", "keys", "b", F.posexplode("keys").alias("band", "key"))
-    x, y = dealt.alias("x"), dealt.alias("y")
-    bits = lambda side, other: sum((F.bit_count(F.col(f"{side}.b")[w].bitwiseAND(F.bitwise_not(F.col(f"{other}.b")[w]))) for w in range(BITMAP)), F.lit(0))
-    most = F.least(F.col("x.n") - bits("x", "y"), F.col("y.n") - bits("y", "x"))
-    need = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-6
-    earlier = F.exists(F.arrays_zip(F.slice("x.keys", F.lit(1), F.col("x.band")).alias("a"), F.slice("y.keys", F.lit(1), F.col("x.band")).alias("b")), lambda k: k["a"] == k["b"])
-    near = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near & (most >= need) & ~earlier)
-    pairs = checkpointed(met.select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2")))
-    lists = reps.select("id", "s")
-    both = pairs.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
-    common = F.size(F.array_intersect("s1", "s2"))
-    found = both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[i * rows + r] for r in range(rows)]) for i in range(bands)])
+    kind = reps.schema["id"].dataType.simpleString()
+    keyed = cut(signed.select("id", keys.alias("keys")).join(reps, "id").select("id", "n", "keys", "s").mapInArrow(_marked, f"id {kind}, n int, keys array<long>, b binary"))
+    pairs = cut(_sharing(keyed, threshold))
+    lists, found = reps.select("id", "s"), []
+    rounds = -(-pairs.count() // TRAVEL) or 1
+    for k in range(rounds):
+        some = pairs.filter(F.pmod(F.xxhash64("id1", "id2"), F.lit(rounds)) == k)
+        both = some.join(lists.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
+        common = F.size(F.array_intersect("s1", "s2"))
+        found.append(cut(both.select("id1", "id2", (common / (F.size("s1") + F.size("s2") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)))
+    found = cut(reduce(DataFrame.unionByName, found))
+    scratch.drop(found, member)
     return _unfolded(found, member)
 
 

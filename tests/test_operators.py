@@ -601,3 +601,16 @@ def test_candidates_are_made_once_and_not_moved(spark, monkeypatch):
     monkeypatch.setattr(similarity, "OUT", 7)
     assert sorted(map(tuple, similarity.lsh_candidates(df).collect())) == sorted(want)
     assert similarity.lsh_candidates(df.limit(0)).count() == 0
+
+
+def test_lsh_verifies_in_rounds(spark, monkeypatch):
+    """Sets travel for a bounded number of pairs at once, and pairs are not made by a shuffle of bands."""
+    docs = {k: {*range(k // 10 * 100, k // 10 * 100 + 30)} - {k // 10 * 100 + k % 10} for k in range(60)}
+    want = {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sorted(docs.items()), 2) if a // 10 == b // 10}
+    df = frame(spark, [(k, str(e)) for k, v in docs.items() for e in v], "id long, element string")
+    monkeypatch.setattr(similarity, "TRAVEL", 40)
+    monkeypatch.setattr(similarity, "SIGNED", 25)
+    got = {}
+    n = shuffled(spark, lambda: got.update({(r.id1, r.id2): r.similarity for r in similarity.lsh_similar(df, bands=60, rows=1).collect()}))
+    assert got == pytest.approx(want)
+    assert n < 60 * 60 + 4 * df.count(), n
