@@ -348,15 +348,19 @@ def folded(sets: DataFrame, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
     return whole.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").withColumn("n", F.size("s")), member
 
 
-def _marked(batches):
+def _marked():
     """id, n, keys and b: 1 for each of the low bits that an element of the set s has."""
-    for batch in batches:
-        marks = []
-        for s in batch.column("s"):
-            bits = np.zeros(64 * BITMAP, bool)
-            bits[s.values.to_numpy() & (64 * BITMAP - 1)] = True
-            marks.append(np.packbits(bits).tobytes())
-        yield pa.record_batch([batch.column("id"), batch.column("n"), batch.column("keys"), pa.array(marks, pa.binary())], ["id", "n", "keys", "b"])
+
+    def run(batches):
+        for batch in batches:
+            marks = []
+            for s in batch.column("s"):
+                bits = np.zeros(64 * BITMAP, bool)
+                bits[s.values.to_numpy() & (64 * BITMAP - 1)] = True
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.record_batch([batch.column("id"), batch.column("n"), batch.column("keys"), pa.array(marks, pa.binary())], ["id", "n", "keys", "b"])
+
+    return run
 
 
 def lsh_similar(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -375,7 +379,7 @@ def lsh_similar(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, row
     signed = minhash(sets.join(reps.select("id"), "id", "left_semi"), bands * rows)
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[i * rows + r] for r in range(rows)]) for i in range(bands)])
     kind = reps.schema["id"].dataType.simpleString()
-    keyed = cut(signed.select("id", keys.alias("keys")).join(reps, "id").select("id", "n", "keys", "s").mapInArrow(_marked, f"id {kind}, n int, keys array<long>, b binary"))
+    keyed = cut(signed.select("id", keys.alias("keys")).join(reps, "id").select("id", "n", "keys", "s").mapInArrow(_marked(), f"id {kind}, n int, keys array<long>, b binary"))
     pairs = cut(_sharing(keyed, threshold))
     lists, found = reps.select("id", "s"), []
     rounds = -(-pairs.count() // TRAVEL) or 1
