@@ -208,6 +208,7 @@ def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[Da
     """(row, doc_id, n, digest of every row; digest, component, component_id of every set)."""
     cut = scratch.cut
     sig = cut(_signatures(docs, heavy_shingles(docs), percent))
+    rows = cut(sig.select(ROW, "doc_id", "n", "digest"))  # all that is read of a signature once its kept shingles are entries
     sound = sig.filter(F.col("digest").isNotNull())
     # nodes are numbered in the order of their smallest doc_ids: the first of a column, which all its rows meet, is the oldest
     ids = cut(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash")))
@@ -219,12 +220,14 @@ def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[Da
     lag, lead = F.lag("n").over(w), F.lead("n").over(w)
     seen = entries.select("h", "salt", "node", "n", "hot", F.when(lag.isNotNull() & _near(lag, F.col("n"), percent), F.lag("node").over(w)).alias("before"), (lead.isNotNull() & _near(lead, F.col("n"), percent)).alias("after"))
     every = cut(seen.filter(F.col("before").isNotNull() | F.col("after") | F.col("hot")).drop("after", "hot"))
+    scratch.drop(rows, ids, every)
     # columns with the same rows are one column of their number's weight
     same = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight")).filter("k > 1")
     # of each entry the weight of its row's entries from it on, columns with fewer rows first
     back = Window.partitionBy("node").orderBy(F.desc("k"), F.desc("h"))
     onward = F.sum("weight").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     blocks = cut(every.join(same.select("h", "k", "weight"), "h").withColumn("onward", onward).withColumn("prior", F.lead("h").over(back)).drop("k"))
+    scratch.drop(rows, ids, blocks)
     # of each row: size, the end of its kept shingles, and what the rest can add to an overlap
     rest_of = F.expr(f"({percent} * n + 99) div 100 - 1")
     info = cut(ids.join(blocks.select("node").distinct(), "node", "left_semi").select("node", F.struct("n", "last_count", "last_hash", rest_of.alias("rest")).alias("d")))
@@ -246,11 +249,13 @@ def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[Da
     star = first.join(lead_of, ["h", "class", "salt"]).select(F.col("node").alias("nx"), "ny", "weight")
     links = cut(linked(star.unionByName(blocks.filter("before is not null").select(F.col("node").alias("nx"), F.col("before").alias("ny"), "weight"))))
     for _ in range(ROUNDS):
+        scratch.drop(rows, ids, blocks, info, links)
         named = _named(blocks, connected_components(links, cut, "x", "y"))
         both = cut(named.groupBy("h").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).filter("lo.component <> hi.component"))  # a table, so that a large column's rows are split in the join
         to = named.join(both, "h").select(F.col("node").alias("nx"), F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("ny"), "weight")
         links = cut(links.unionByName(linked(to)).distinct())
 
+    scratch.drop(rows, ids, blocks, info, links)
     # what is left: in each column the smaller components against all others, if it can be the first that a pair shares
     named = cut(_named(blocks, connected_components(links, cut, "x", "y")))
     by = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -261,14 +266,15 @@ def _classes(docs: DataFrame, percent: int, scratch: common.Scratch) -> tuple[Da
     fresh = F.col("px").isNull() | F.col("py").isNull() | (F.col("px") != F.col("py"))  # else the pair has met in the column before
     apart = a.join(b, (a.h == b.h) & fresh & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("nx") < F.col("ny"))) & _near(F.col("x.n"), F.col("y.n"), percent) & _reach("least(ox, oy) + x.rest", "least(ox, oy) + y.rest", percent))
     pairs = apart.select(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).distinct()
-    links = cut(links.unionByName(_links(docs, ids, pairs, percent, cut)).unionByName(_same_document(sound, ids)))
+    links = cut(links.unionByName(_links(docs, ids, pairs, percent, cut)).unionByName(_same_document(rows.filter(F.col("digest").isNotNull()), ids)))
+    scratch.drop(rows, ids, links)
     label = connected_components(links, cut, "x", "y")
 
     owned = ids.select("digest", "node", "rep").join(label, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     # components of more than one set; their smallest doc_id is a table, so that a large component's rows are split in the join
     least = cut(ids.select("node", "rep").join(label, "node").groupBy("component").agg(F.min("rep").alias("least")))
     out = cut(owned.join(least, "component", "left").select("digest", "component", F.coalesce("least", "rep").alias("component_id")))
-    return sig.select(ROW, "doc_id", "n", "digest"), out
+    return rows, out
 
 
 def _same_document(sound: DataFrame, ids: DataFrame) -> DataFrame:
@@ -280,7 +286,7 @@ def _same_document(sound: DataFrame, ids: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    scratch = common.Scratch(docs.sparkSession, "jaccard", True)
     rows, sets = _classes(docs, percent, scratch)
     out = scratch.cut(rows.join(sets, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
     scratch.drop(out)
@@ -296,7 +302,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     A component without any doc_id keeps one row; a text without words keeps its own.
     """
-    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    scratch = common.Scratch(docs.sparkSession, "jaccard", True)
     rows, sets = _classes(docs, percent, scratch)
     rows = rows.join(sets, "digest", "left")
     own = rows.filter(F.col("digest").isNull() | (F.col("doc_id") == F.col("component_id"))).select(ROW)

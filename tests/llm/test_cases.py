@@ -256,3 +256,21 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_jaccard_drops_what_it_has_read(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 4}x{k}" for k in range(60)) + f" end{i}") for i in range(40)]
+    df, made, left = spark.createDataFrame(rows, "doc_id long, text string"), [], []
+    init, cc = common.Scratch.__init__, jaccard.connected_components
+    monkeypatch.setattr(common.Scratch, "__init__", lambda self, *a: (made.append(self), init(self, *a))[1])
+
+    def spied(*a):
+        left.append([t.columns for _, t in made[0].paths.values()])
+        return cc(*a)
+
+    monkeypatch.setattr(jaccard, "connected_components", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.components(df).collect()}
+    assert got == {i: i // 4 * 4 for i in range(40)}
+    assert made[0].clean  # shuffle files go with the query that made them
+    assert all("prefix" not in t and "salt" not in t or "onward" in t for tables in left for t in tables)  # signatures and unmatched entries
+    assert sorted(left[-1]) == sorted([["__row", "doc_id", "n", "digest"], ["digest", "rep", "n", "last_count", "last_hash", "node"], ["x", "y"]])
