@@ -162,6 +162,8 @@ def cf_predict(train: DataFrame, test: DataFrame, k: int = 30, cold: float = 2.5
     return out.select("user", "item", F.coalesce(F.when(item_known & user_known, F.coalesce("cf", "ia")).otherwise(F.coalesce("ia", "ua")), F.lit(cold)).alias("prediction"), branch.alias("branch"))
 
 
+#: Bins of a feature that trees split between, as many as Spark takes by default.
+BINS = 32
 USER_FEATURES, ITEM_FEATURES = ("u_review_count", "u_useful", "u_average_stars", "u_fans"), ("b_review_count", "b_stars", "b_noise", "b_wifi")
 
 
@@ -184,11 +186,37 @@ def assemble_features(pairs: DataFrame, users: DataFrame, items: DataFrame, nois
 
 
 def gbt_fit_predict(train: DataFrame, test: DataFrame, seed: int = 20, depth: int = 5, rounds: int = 20) -> DataFrame:
-    """user, item, prediction of boosted regression trees over all feature columns both frames have."""
+    """user, item, prediction of boosted regression trees over all feature columns both frames have.
+
+    The trees see a feature only by its bin, and a mean and a weight tell them of
+    rows with equal bins all that the rows would; so equal rows are one before
+    the trees keep them in memory and on disk, once for each round.
+    """
     names = [c for c in train.columns if c in USER_FEATURES + ITEM_FEATURES]
+    scratch = Scratch(train.sparkSession, "features", True)
+    rows = scratch.cut(train.select(*names, "stars"))
+    bins = _bins(rows, names)
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
-    model = GBTRegressor(featuresCol="features", labelCol="stars", seed=seed, maxDepth=depth, maxIter=rounds).fit(assembler.transform(train))
-    return model.transform(assembler.transform(test)).select("user", "item", "prediction")
+    # null if a label is, so that the trees refuse it as they would refuse the row
+    mean = F.when(F.count(F.lit(1)) == F.count("stars"), F.avg("stars"))
+    grouped = scratch.cut(rows.select(*bins, "stars").groupBy(*names).agg(mean.alias("stars"), F.count(F.lit(1)).cast("double").alias("weight")))
+    scratch.drop(grouped)
+    model = GBTRegressor(featuresCol="features", labelCol="stars", weightCol="weight", maxBins=BINS, seed=seed, maxDepth=depth, maxIter=rounds).fit(assembler.transform(grouped))
+    scratch.drop()
+    return model.transform(assembler.transform(test.select("user", "item", *bins))).select("user", "item", "prediction")
+
+
+def _bins(rows: DataFrame, names: list[str]) -> list[F.Column]:
+    """Of each feature the number of its bin, at most BINS: one for each value where they are few, else quantiles.  NaN and null stay."""
+    grid = F.array(*[F.lit(k / (32 * BINS)) for k in range(32 * BINS + 1)])
+    found = rows.agg(*[F.percentile_approx(c, grid, F.lit(10000)).alias(c) for c in names]).first()  # one row of fixed size
+    out = []
+    for c in names:
+        grid_of = [v for v in found[c] or [] if v == v]
+        values = sorted(set(grid_of))
+        cuts = [(x + y) / 2 for x, y in zip(values, values[1:])] if len(values) <= BINS else sorted(set(grid_of[32 : 32 * BINS : 32]))
+        out.append(F.when(F.col(c).isNull() | F.isnan(c), F.col(c)).otherwise(sum((F.when(F.col(c) > v, 1.0).otherwise(0.0) for v in cuts), F.lit(0.0))).alias(c))
+    return out
 
 
 def hybrid(cf: DataFrame, model: DataFrame, alpha: float = 0.1) -> DataFrame:

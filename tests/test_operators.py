@@ -146,6 +146,22 @@ def test_boosted_trees_learn(spark):
     assert recommend.rmse(got, df).first().rmse < 0.4
 
 
+def test_boosted_trees_see_equal_rows_once(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"u{i}", f"i{i}", rng.randrange(3) * 1.0, rng.randrange(2) * 1.0, 1.0, rng.randrange(4) * 1.0, rng.randrange(5) * 1.0, 2.0) for i in range(1500)]
+    names = ["u_review_count", "u_useful", "u_average_stars", "b_review_count", "b_stars", "b_noise"]
+    df = frame(spark, rows, "user string, item string, " + ", ".join(f"{c} double" for c in names))
+    df = df.withColumn("stars", 1 + F.col("b_stars") * F.col("u_useful") + F.col("b_review_count") % 2 + F.pmod(F.hash("user"), F.lit(3)))
+    all_rows = recommend.VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    want = recommend.GBTRegressor(featuresCol="features", labelCol="stars", seed=20, maxDepth=3, maxIter=4).fit(all_rows).transform(all_rows)
+    want = {r.user: r.prediction for r in want.collect()}
+    given, fit = [], recommend.GBTRegressor.fit
+    monkeypatch.setattr(recommend.GBTRegressor, "fit", lambda self, data: (given.append(data.collect()), fit(self, data))[1])
+    got = {r.user: r.prediction for r in recommend.gbt_fit_predict(df, df, depth=3, rounds=4).collect()}
+    assert len(given[0]) == len({tuple(r[2:8]) for r in rows}) and sum(r.weight for r in given[0]) == 1500
+    assert got == pytest.approx(want)
+
+
 def test_graph_fixture(spark):
     e = frame(spark, EDGES, "src string, dst string")
     want = {"cd": 9, "ac": 4, "bc": 4, "de": 4, "df": 4, "ab": 1, "ef": 1}
